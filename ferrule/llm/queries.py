@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from ferrule.llm import decontam, mixing, sharding
+from ferrule.llm import decontam, minhash, mixing, sharding
 
 QUERIES = {
     "op1_decontaminate": decontam.op1_decontaminate,
+    "op2_near_duplicates": minhash.op2_near_duplicates,
     "op5_shard": sharding.op5_shard,
     "op9_mix_sources": mixing.op9_mix_sources,
 }
 ORACLE_SQL = {
     "op1_decontaminate": decontam.OP1_SQL,
+    "op2_near_duplicates": minhash.OP2_SQL,
     "op5_shard": sharding.OP5_SQL,
     "op9_mix_sources": mixing.OP9_SQL,
 }
