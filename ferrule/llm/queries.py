@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from ferrule.llm import decontam, minhash, mixing, sharding
+from ferrule.llm import decontam, langid, licenses, minhash, mixing, sharding
 
 QUERIES = {
     "op1_decontaminate": decontam.op1_decontaminate,
     "op2_near_duplicates": minhash.op2_near_duplicates,
+    "op4_language": langid.op4_language,
     "op5_shard": sharding.op5_shard,
+    "op8_licenses": licenses.op8_licenses,
     "op9_mix_sources": mixing.op9_mix_sources,
 }
 ORACLE_SQL = {
