@@ -42,12 +42,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     This cuts the lineage, survives the loss of executors and gives the
-    optimizer real sizes. The files go when the session ends.
+    optimizer real sizes. The files go when the session ends. Shuffle files that
+    only led up to the table are unreachable now; a collection on the driver has
+    them deleted.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     atexit.register(discard, spark, path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.parquet(path)
 
 

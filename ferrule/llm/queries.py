@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from ferrule.llm import decontam, langid, licenses, minhash, mixing, sharding
+from ferrule.llm import decontam, langid, licenses, lmscore, minhash, mixing, sharding
 
 QUERIES = {
     "op1_decontaminate": decontam.op1_decontaminate,
     "op2_near_duplicates": minhash.op2_near_duplicates,
+    "op3_lm_score": lmscore.op3_lm_score,
     "op4_language": langid.op4_language,
     "op5_shard": sharding.op5_shard,
     "op8_licenses": licenses.op8_licenses,
