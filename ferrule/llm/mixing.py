@@ -19,8 +19,9 @@ from ferrule.llm.common import materialize, table
 MOST_COPIES = 3
 #: Newton steps; far from the solution each moves lambda by about 1, near it errors are squared.
 NEWTON_STEPS = 60
-#: Draws are 52-bit numbers; their upper 20 bits are the bucket of the first search.
-DRAW_BITS, BUCKET_BITS = 52, 20
+#: Draws are 52-bit numbers. The search for a source's last draw goes by buckets of 2**42, 2**32 and 1 draws, so a source has
+#: about a thousand rows in each of the first two rounds and a millionth of its documents in the third.
+DRAW_BITS, SEARCH = 52, (42, 32, 0)
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -72,7 +73,7 @@ def mix(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), most: int = MOST_CO
     Rates become whole copies in a fixed order: every document of a source is
     taken floor(rate) times, and once more those with the smallest hashes of
     doc_id, as many as fit into what is left of the target. Their last hash is
-    found by two rounds of sums over hash buckets, so no source meets in one
+    found by rounds of sums over hash buckets, so no source meets in one
     task, each source ends within one document of its target, and reruns agree.
 
     Null texts and empty texts have size 0; null sources are one source, the
@@ -92,17 +93,16 @@ def mix(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), most: int = MOST_CO
     def of_source(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
         return left.join(right.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), how).drop("_source")
 
-    low_bits = DRAW_BITS - BUCKET_BITS
-    bucket = F.shiftright("draw", low_bits)
-    buckets = of_source(rows.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("size")), sources.select("source", "rest"))
-    upto = F.sum("size").over(Window.partitionBy("source").orderBy("bucket"))
-    crossing = buckets.withColumn("upto", upto).filter("upto > rest").groupBy("source", "rest").agg(F.min(F.struct("bucket", (F.col("upto") - F.col("size")).alias("before"))).alias("at"))
-    crossing = materialize(crossing.select("source", "rest", "at.bucket", "at.before"), "mix-crossing")
-    inside = of_source(rows, crossing).filter(bucket == F.col("bucket")).groupBy("source", "rest", "before", "draw").agg(F.sum("size").alias("size"))
-    upto = F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy("draw"))
-    last = inside.withColumn("upto", upto).filter("upto <= rest").groupBy("source").agg(F.max("draw").alias("last"))
-    known = of_source(of_source(sources, crossing.select("source", "bucket"), "left"), last, "left")
-    cut = F.coalesce("last", F.shiftleft(F.col("bucket"), low_bits) - 1, F.lit(1 << DRAW_BITS))
+    # Find the first draw of each source that no longer fits: by its upper bits, then by more of them.
+    state, above = sources.select("source", "rest", F.lit(0).cast("long").alias("bucket"), F.lit(0).cast("long").alias("before")), DRAW_BITS
+    for shift in SEARCH:
+        inside = of_source(rows, state).filter(F.shiftright("draw", above) == F.col("bucket"))
+        buckets = inside.groupBy("source", "rest", "before", F.shiftright("draw", shift).alias("at")).agg(F.sum("size").alias("size"))
+        upto = F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy("at"))
+        over = buckets.withColumn("upto", upto).filter("upto > rest").groupBy("source", "rest").agg(F.min(F.struct("at", (F.col("upto") - F.col("size")).alias("before"))).alias("x"))
+        state, above = materialize(over.select("source", "rest", F.col("x.at").alias("bucket"), "x.before"), "mix-crossing"), shift
+    known = of_source(sources, state.select("source", "bucket"), "left")
+    cut = F.coalesce(F.col("bucket") - 1, F.lit(1 << DRAW_BITS))
     known = materialize(known.select("source", F.col("words").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("rate").alias("mix_rate"), F.col("base").alias("_base"), cut.alias("_cut")), "mix-known")
     copies = F.when(F.col("mix_source_size") == 0, 1).otherwise(F.least(F.lit(most), F.col("_base") + F.when(draw(F.col("doc_id")) <= F.col("_cut"), 1).otherwise(0)))
     return of_source(docs, known).withColumn("mix_copies", copies.cast("long")).drop("_base", "_cut")
