@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ferrule.llm import decontam, langid, licenses, lmscore, minhash, mixing, sharding
+from ferrule.llm import decontam, langid, licenses, lmscore, minhash, mixing, quality, sharding
 
 QUERIES = {
     "op1_decontaminate": decontam.op1_decontaminate,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_shard": sharding.op5_shard,
     "op8_licenses": licenses.op8_licenses,
     "op9_mix_sources": mixing.op9_mix_sources,
+    "op10_quality": quality.op10_quality,
 }
 ORACLE_SQL = {
     "op1_decontaminate": decontam.OP1_SQL,
