@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ferrule.llm import decontam, langid, licenses, lmscore, minhash, mixing, quality, sharding
+from ferrule.llm import decontam, langid, licenses, lmscore, minhash, mixing, quality, repeats, sharding
 
 QUERIES = {
     "op1_decontaminate": decontam.op1_decontaminate,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_lm_score": lmscore.op3_lm_score,
     "op4_language": langid.op4_language,
     "op5_shard": sharding.op5_shard,
+    "op7_repeats": repeats.op7_repeats,
     "op8_licenses": licenses.op8_licenses,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_quality": quality.op10_quality,
