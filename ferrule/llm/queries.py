@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ferrule.llm import decontam, langid, licenses, lmscore, minhash, mixing, quality, repeats, sharding
+from ferrule.llm import ann, decontam, langid, licenses, lmscore, minhash, mixing, quality, repeats, sharding
 
 QUERIES = {
     "op1_decontaminate": decontam.op1_decontaminate,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_lm_score": lmscore.op3_lm_score,
     "op4_language": langid.op4_language,
     "op5_shard": sharding.op5_shard,
+    "op6_nearest": ann.op6_nearest,
     "op7_repeats": repeats.op7_repeats,
     "op8_licenses": licenses.op8_licenses,
     "op9_mix_sources": mixing.op9_mix_sources,
@@ -19,5 +20,6 @@ ORACLE_SQL = {
     "op1_decontaminate": decontam.OP1_SQL,
     "op2_near_duplicates": minhash.OP2_SQL,
     "op5_shard": sharding.OP5_SQL,
+    "op6_nearest": ann.OP6_SQL,
     "op9_mix_sources": mixing.OP9_SQL,
 }
