@@ -12,7 +12,7 @@ from ferrule.functions.typed import marked
 from ferrule.operators.tables import file_system
 
 #: Files up to this size are one task anyway, so they are read with line breaks in quotes at once.
-ONE_SPLIT = 64 << 20
+ONE_SPLIT = 4 << 20
 HEAD = 1 << 16
 
 
