@@ -68,7 +68,8 @@ def mix(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), most: int = MOST_CO
 
     ``docs`` has doc_id, source and either ``mix_size`` (its words) or text.
     Returns its columns and mix_size, mix_source_size, mix_target, mix_rate and
-    mix_copies (columns of those names are replaced).
+    mix_copies (columns of the last four names are replaced; names that begin with
+    _mix_ are for use within).
 
     Rates become whole copies in a fixed order: every document of a source is
     taken floor(rate) times, and once more those with the smallest hashes of
@@ -91,7 +92,7 @@ def mix(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), most: int = MOST_CO
     sources = materialize(sources.withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("base") * F.col("words")) + 0.5), "mix-sources")
 
     def of_source(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
-        return left.join(right.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), how).drop("_source")
+        return left.join(right.withColumnRenamed("source", "_mix_source"), F.col("source").eqNullSafe(F.col("_mix_source")), how).drop("_mix_source")
 
     # Find the first draw of each source that no longer fits: by its upper bits, then by more of them.
     state, above = sources.select("source", "rest", F.lit(0).cast("long").alias("bucket"), F.lit(0).cast("long").alias("before")), DRAW_BITS
@@ -103,9 +104,9 @@ def mix(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), most: int = MOST_CO
         state, above = materialize(over.select("source", "rest", F.col("x.at").alias("bucket"), "x.before"), "mix-crossing"), shift
     known = of_source(sources, state.select("source", "bucket"), "left")
     cut = F.coalesce(F.col("bucket") - 1, F.lit(1 << DRAW_BITS))
-    known = materialize(known.select("source", F.col("words").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("rate").alias("mix_rate"), F.col("base").alias("_base"), cut.alias("_cut")), "mix-known")
-    copies = F.when(F.col("mix_source_size") == 0, 1).otherwise(F.least(F.lit(most), F.col("_base") + F.when(draw(F.col("doc_id")) <= F.col("_cut"), 1).otherwise(0)))
-    return of_source(docs, known).withColumn("mix_copies", copies.cast("long")).drop("_base", "_cut")
+    known = materialize(known.select("source", F.col("words").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("rate").alias("mix_rate"), F.col("base").alias("_mix_base"), cut.alias("_mix_cut")), "mix-known")
+    copies = F.when(F.col("mix_source_size") == 0, 1).otherwise(F.least(F.lit(most), F.col("_mix_base") + F.when(draw(F.col("doc_id")) <= F.col("_mix_cut"), 1).otherwise(0)))
+    return of_source(docs, known).withColumn("mix_copies", copies.cast("long")).drop("_mix_base", "_mix_cut")
 
 
 def take(mixed: DataFrame) -> DataFrame:
