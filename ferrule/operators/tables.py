@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -17,6 +18,7 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="ferrule-"))
+        atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
     return f"file://{_OWN[0]}"
 
 

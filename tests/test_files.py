@@ -159,8 +159,8 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert cli.main([query]) == 0 and capsys.readouterr().out == "id\n1\n"
     assert cli.main(["--format", "table", "--time", query]) == 0 and "Execution time" in capsys.readouterr().err
     assert cli.main(["--quiet", query]) == 0 and capsys.readouterr().out == ""
-    (tmp_path / "q.qle").write_text(query + "\n-- done\n")
-    assert cli.main(["run", str(tmp_path / "q.qle"), str(tmp_path / "q.qle")]) == 0 and capsys.readouterr().out == "id\n1\n" * 2
+    (tmp_path / "q.txt").write_text(query + "\n-- done\n")
+    assert cli.main(["run", str(tmp_path / "q.txt"), str(tmp_path / "q.txt")]) == 0 and capsys.readouterr().out == "id\n1\n" * 2
     assert cli.main(["from nosuch.csv select x"]) == 1 and "Error:" in capsys.readouterr().err
     assert cli.main(["--max-file-size", "3", query]) == 1 and "limit is 3" in capsys.readouterr().err
     with pytest.raises(SystemExit):
