@@ -38,13 +38,32 @@ def total_bytes(spark: SparkSession, path: str) -> int:
     return fs.getContentSummary(where).getLength() if fs.exists(where) else 0
 
 
+_FACTS: dict[tuple, object] = {}
+
+
+def fact(spark: SparkSession, what: str, path: str, find):
+    """What ``find()`` says of a file, asked again only when the file's size or time has changed."""
+    fs, where = file_system(spark, path)
+    key = (what, path, *((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in ([fs.getFileStatus(where), *fs.listStatus(where)] if fs.exists(where) else [])))
+    if key not in _FACTS:
+        if len(_FACTS) >= 1000:
+            _FACTS.clear()
+        _FACTS[key] = find()
+    return _FACTS[key]
+
+
+def _has_broken_lines(spark: SparkSession, path: str) -> bool:
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).filter(F.col("value").contains('"') & (quotes % 2 == 1)).isEmpty()
+
+
 def _separated(spark: SparkSession, path: str, sep: str) -> DataFrame:
     """Quoted fields may hold separators, doubled quotes and line breaks; short rows end in nulls, cells beyond the header are dropped.
 
     A field with a line break shows as a line with an odd number of quotes. Large
     files are searched for one, and without it are split among tasks.
     """
-    broken = total_bytes(spark, path) <= ONE_SPLIT or not spark.read.text(path).filter(F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1).isEmpty()
+    broken = total_bytes(spark, path) <= ONE_SPLIT or fact(spark, "broken lines", path, lambda: _has_broken_lines(spark, path))
     reader = spark.read.option("header", True).option("sep", sep).option("escape", '"').option("multiLine", broken).option("inferSchema", False)
     return marked(reader.csv(path))
 
@@ -66,8 +85,9 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     if not lines and start.startswith("{"):
         if total_bytes(spark, path) > HEAD or not re.fullmatch(r"\{.*\}\s*", start, re.S):
             raise ExecutionError(f"{path} is no JSON array of objects")
-    df = spark.read.option("multiLine", not lines).option("primitivesAsString", True).option("mode", "FAILFAST").json(path)
-    return marked(df)
+    reader = spark.read.option("multiLine", not lines).option("primitivesAsString", True).option("mode", "FAILFAST")
+    schema = fact(spark, "schema", path, lambda: reader.json(path).schema)
+    return marked(reader.schema(schema).json(path))
 
 
 def row_tag(spark: SparkSession, path: str) -> str:
