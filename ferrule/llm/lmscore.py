@@ -35,7 +35,8 @@ from ferrule.llm.common import BASE, chunks, crc_of_id, materialize, mix64, smal
 
 #: Bytes of context; grams of ORDER + 1 bytes are handled as 64-bit numbers.
 ORDER = 5
-PART_BYTES = 24_000_000
+PART_BYTES = 32_000_000
+CHUNK = 1_000_000
 #: Bytes of text to a hash bucket of keys.
 BUCKET_BYTES = 12_000_000
 END = 255
@@ -70,26 +71,56 @@ def _part_words(raw, at):
     return hashes, offsets
 
 
+def _counted(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, and how often each occurs among those of training texts (by sorting values, not indexes)."""
+    distinct = np.unique(keys)
+    seen, n = np.unique(keys[train], return_counts=True)
+    counts = np.zeros(len(distinct), np.int64)
+    counts[np.searchsorted(distinct, seen)] = n
+    return distinct, counts
+
+
 def _tally(column: pa.Array, train: np.ndarray, order: int):
     """Distinct grams and words of a part with their counts in training texts."""
     keys, sums = ([], []), ([], [])
     ends = np.zeros(2, np.int64)
-    for lo, hi, raw, at in chunks(column):
+    for lo, hi, raw, at in chunks(column, CHUNK):
         for kind, (key, offsets) in enumerate((grams(raw, at, order), _part_words(raw, at))):
-            own = np.repeat(train[lo:hi], np.diff(offsets))
-            distinct, which = np.unique(key, return_inverse=True)
+            distinct, n = _counted(key, np.repeat(train[lo:hi], np.diff(offsets)))
             keys[kind].append(distinct)
-            sums[kind].append(np.bincount(which, own, minlength=len(distinct)))
+            sums[kind].append(n)
         ends += (hi - lo, int(train[lo:hi].sum()))
     if ends[0]:
         keys[WORD].append(np.array([END_WORD]))
-        sums[WORD].append(np.array([float(ends[1])]))
+        sums[WORD].append(np.array([ends[1]]))
     for kind in (GRAM, WORD):
         if keys[kind]:
             distinct, which = np.unique(np.concatenate(keys[kind]), return_inverse=True)
             yield kind, distinct, np.bincount(which, np.concatenate(sums[kind])).astype(np.int64)
 
 
+class Lookup:
+    """Values of known 64-bit keys: sorted by a hash, found from its upper bits in a step or a few."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        hashes = keys * np.uint64(BASE)
+        by = np.argsort(hashes)
+        self.hashes, self.values = hashes[by], values[by]
+        bits = max(8, int(2 * len(keys)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(self.hashes, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """Values of ``keys``, all of which are known."""
+        hashes = keys * np.uint64(BASE)
+        at = self.first[hashes >> self.shift]
+        left = np.flatnonzero(self.hashes[at] != hashes)
+        while len(left):
+            at[left] += 1
+            left = left[self.hashes[at[left]] != hashes[left]]
+        return self.values[at]
+
+
 def pack(x: np.ndarray) -> bytes:
     return pa.compress(x.tobytes(), "zstd", asbytes=True)
 
@@ -114,7 +145,7 @@ def gather(order: int, buckets: int):
     def run(part: pa.Table) -> pa.Table:
         number = part.column("part")[0].as_py()
         column = part.column("text").combine_chunks()
-        train = part.column("train").to_numpy().astype(np.int64)
+        train = part.column("train").to_numpy()
         rows = []
         for kind, keys, n in _tally(column, train, order):
             bucket = (mix64(keys) % np.uint64(buckets)).astype(np.int64)
@@ -139,10 +170,8 @@ def total(packs: pa.Table) -> pa.Table:
 
 def answer(packs: pa.Table, values: pa.Table) -> pa.Table:
     """The packs of a bucket with values for counts."""
-    key = values.column("key").to_numpy().view(np.uint64)
-    by = np.argsort(key)
-    key, value = key[by], values.column("value").to_numpy()[by]
-    got = [pack(value[np.searchsorted(key, unpack_keys([k], [n]))]) for k, n in zip(packs.column("keys").to_pylist(), packs.column("size").to_pylist(), strict=True)]
+    value = Lookup(values.column("key").to_numpy().view(np.uint64), values.column("value").to_numpy())
+    got = [pack(value(unpack_keys([k], [n]))) for k, n in zip(packs.column("keys").to_pylist(), packs.column("size").to_pylist(), strict=True)]
     return packs.select(["part", "kind", "size", "keys"]).append_column("values", pa.array(got, pa.binary()))
 
 
@@ -214,18 +243,15 @@ def score_part(order: int):
         for which in (GRAM, WORD):
             own = values.filter(pa.array(kind == which))
             sizes = own.column("size").to_pylist()
-            key = unpack_keys(own.column("keys").to_pylist(), sizes)
-            by = np.argsort(key)
-            tables.append((key[by], unpack(own.column("values").to_pylist(), sizes, np.float64)[by]))
-        (gram_keys, costs), (word_keys, word_counts) = tables
-        docs = docs.combine_chunks()
-        end_count = word_counts[np.searchsorted(word_keys, END_WORD)] if len(word_keys) else 0.0
+            tables.append(Lookup(unpack_keys(own.column("keys").to_pylist(), sizes), unpack(own.column("values").to_pylist(), sizes, np.float64)))
+        cost, count = tables
+        end_count = count(np.array([END_WORD]))[0]
         scores, tokens, known, base = [], [], [], []
-        for lo, hi, raw, at in chunks(docs.column("text").combine_chunks()):
+        for lo, hi, raw, at in chunks(docs.column("text").combine_chunks(), CHUNK):
             got, offsets = grams(raw, at, order)
-            scores.append(np.add.reduceat(costs[np.searchsorted(gram_keys, got)], offsets[:-1]))
+            scores.append(np.add.reduceat(cost(got), offsets[:-1]))
             hashes, offsets = _part_words(raw, at)
-            c = word_counts[np.searchsorted(word_keys, hashes)]
+            c = count(hashes)
             sums = [np.concatenate([[0], np.cumsum(v)]) for v in (c > 0, np.log10(c + 1))]
             counts = np.diff(offsets)
             tokens.append(counts + 1)
