@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import sys
 import tempfile
 import types
@@ -34,6 +35,7 @@ def shared_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     if not _OWN_DIR:
         _OWN_DIR.append(tempfile.mkdtemp(prefix="ferrule-"))
+        atexit.register(shutil.rmtree, _OWN_DIR[0], ignore_errors=True)
     spark.sparkContext.setCheckpointDir(_OWN_DIR[0])
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 

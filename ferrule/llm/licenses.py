@@ -203,3 +203,30 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         joined(F.concat(base, F.transform("lic_matches", lambda m: m["label"]))).alias("labels"),
         F.coalesce(F.array_max(F.transform("lic_matches", lambda m: m["share"])), F.lit(0.0)).alias("score"),
     )
+
+
+_SQL_TEMPLATES = ", ".join(
+    f"('{label}', {base}, string_split('{text}', ' '), string_split('{key}', ' '))"
+    for label, base, text, key in [*((k, True, v, v) for k, v in BASE_PHRASES.items()), *((label, False, text, key) for label, text, key in TEMPLATES)]
+)
+
+# Every occurrence of a key phrase holds its rarest words, so the index finds what this search by brute force finds.
+OP8_SQL = rf"""
+WITH templates AS (
+  SELECT *, (SELECT min(i) FROM range(1, len(t) + 1) r(i) WHERE t[i:i + len(k) - 1] = k) AS lo FROM (VALUES {_SQL_TEMPLATES}) v(label, base, t, k)
+), docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), tokens AS (
+  SELECT rid, i, w FROM (SELECT rid, w, unnest(range(1, len(w) + 1)) AS i FROM docs)
+), places AS (
+  SELECT rid, label, base, i, len(list_filter(range(1, len(t) + 1), lambda j: i - lo + j >= 1 AND i - lo + j <= len(w) AND w[greatest(1, i - lo + j)] = t[j])) / len(t) AS share
+  FROM tokens JOIN templates ON w[i] = k[1] AND w[i:i + len(k) - 1] = k
+), found AS (
+  SELECT rid, count(*) FILTER (base) AS n_base, min(i - 1) FILTER (base) AS first_word, max(i - 1) FILTER (base) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) FILTER (NOT base) AS score
+  FROM places WHERE base OR share >= {COVERAGE} GROUP BY rid
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM docs d LEFT JOIN found f ON f.rid = d.rid
+"""

@@ -21,5 +21,7 @@ ORACLE_SQL = {
     "op2_near_duplicates": minhash.OP2_SQL,
     "op5_shard": sharding.OP5_SQL,
     "op6_nearest": ann.OP6_SQL,
+    "op7_repeats": repeats.OP7_SQL,
+    "op8_licenses": licenses.OP8_SQL,
     "op9_mix_sources": mixing.OP9_SQL,
 }

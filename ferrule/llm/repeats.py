@@ -259,3 +259,27 @@ def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     kind = marked.schema["doc_id"].dataType.simpleString()
     return marked.mapInArrow(digest, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+OP7_SQL = """
+WITH docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), windows AS MATERIALIZED (
+  SELECT rid, i, md5(substr(h, 2 * i + 1, 400)) AS k FROM (SELECT rid, h, unnest(range(0, len(h) // 2 - 199)) AS i FROM docs)
+), repeated AS (
+  SELECT rid, i FROM windows SEMI JOIN (SELECT k FROM windows GROUP BY k HAVING count(*) > 1) USING (k)
+), runs AS (
+  SELECT rid, i, sum(fresh) OVER (PARTITION BY rid ORDER BY i) AS run
+  FROM (SELECT rid, i, CASE WHEN i - lag(i) OVER (PARTITION BY rid ORDER BY i) <= 200 THEN 0 ELSE 1 END AS fresh FROM repeated)
+), spans AS (
+  SELECT rid, min(i) AS lo, max(i) + 200 AS hi FROM runs GROUP BY rid, run
+), pieces AS (
+  SELECT s.rid, lo, hi, substr(h, 2 * coalesce(lag(hi) OVER (PARTITION BY s.rid ORDER BY lo), 0) + 1, 2 * (lo - coalesce(lag(hi) OVER (PARTITION BY s.rid ORDER BY lo), 0))) AS piece
+  FROM spans s JOIN docs d ON s.rid = d.rid
+), sums AS (
+  SELECT rid, sum(hi - lo) AS n_removed, count(*) AS n_spans, max(hi) AS last, string_agg(piece, '' ORDER BY lo) AS kept FROM pieces GROUP BY rid
+)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM docs d LEFT JOIN sums s ON s.rid = d.rid
+"""
