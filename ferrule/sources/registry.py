@@ -10,7 +10,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ferrule.errors import ExecutionError, SecurityError
-from ferrule.functions.suggest import hint
 from ferrule.limits import Limits
 from ferrule.operators.tables import file_system
 from ferrule.sources.sqlite import read_sqlite
@@ -46,7 +45,7 @@ def open_source(spark: SparkSession, name: str, limits: Limits) -> DataFrame:
     check_path(name)
     reader = next((r for s, r in READERS.items() if name.lower().endswith(s)), None) or next((r for s, r in CONTAINED.items() if s in name.lower()), None)
     if reader is None:
-        raise ExecutionError(f"Unsupported source: {name}{hint(name, [])}")
+        raise ExecutionError(f"Unsupported source: {name}")
     if limits.file_bytes is not None:
         check_size(spark, name, limits.file_bytes)
     try:
