@@ -5,6 +5,10 @@ similarity each, nearly independently, so half the hash evaluations give a
 signature of the same length and no more variance. Six values make a band.
 With 72 bands a pair at the threshold of 0.75 shares none with probability
 (1 - 0.75**6)**72 < 1e-6. What shares a band is confirmed on the full sets.
+
+A signature of 432 values estimates the similarity with a standard deviation of
+0.021 at the threshold. So pairs that still matter after the first round are
+dropped unconfirmed only where a byte of each value puts them below 0.65.
 """
 
 from __future__ import annotations
@@ -22,8 +26,10 @@ from ferrule.llm.components import components
 SHINGLE = 5
 BANDS, PERMUTATIONS_A_BAND = 72, 3
 PERCENT = 75
-#: A bucket with up to so many unresolved members is settled at once, a larger one by so many leaders a round.
-SMALL_BUCKET, LEADERS = 24, 12
+#: Least estimated similarity of a pair that is confirmed on the full sets.
+ESTIMATE = 0.65
+#: Members of a bucket that one task compares with as many others; larger buckets are dealt out by pairs of blocks.
+BLOCK = 1024
 
 
 def shingle_sets(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -41,22 +47,33 @@ def shingle_sets(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return got, np.searchsorted(doc, np.arange(len(counts) + 1))
 
 
+def signatures(sets: np.ndarray, offsets: np.ndarray):
+    """The minima and the maxima of each permutation; every text has a shingle."""
+    starts = offsets[:-1]
+    factors = mix64(np.arange(1, 2 * BANDS * PERMUTATIONS_A_BAND + 1, dtype=np.uint64) * np.uint64(BASE)) | np.uint64(1)
+    for i in range(0, len(factors), 2):
+        value = sets * factors[i] + factors[i + 1]
+        yield np.minimum.reduceat(value, starts)
+        yield np.maximum.reduceat(value, starts)
+
+
 def band_keys(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A (texts, bands) array of band hashes; every text has a shingle."""
-    starts, base = offsets[:-1], np.uint64(BASE)
-    factors = mix64(np.arange(1, 2 * BANDS * PERMUTATIONS_A_BAND + 1, dtype=np.uint64) * base) | np.uint64(1)
-    out = np.empty((len(starts), BANDS), np.uint64)
-    for band in range(BANDS):
-        key = np.full(len(starts), band + 1, np.uint64)
-        for p in range(PERMUTATIONS_A_BAND):
-            i = 2 * (band * PERMUTATIONS_A_BAND + p)
-            value = sets * factors[i] + factors[i + 1]
-            for end in (np.minimum.reduceat(value, starts), np.maximum.reduceat(value, starts)):
-                key = mix64(key * base + end)
-        out[:, band] = key
+    """A (texts, bands) array of band hashes."""
+    out = np.empty((len(offsets) - 1, BANDS), np.uint64)
+    for i, values in enumerate(signatures(sets, offsets)):
+        band = i // (2 * PERMUTATIONS_A_BAND)
+        if i % (2 * PERMUTATIONS_A_BAND) == 0:
+            out[:, band] = band + 1
+        out[:, band] = mix64(out[:, band] * np.uint64(BASE) + values)
     return out
 
 
+def sketches(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A (texts, values) array with a byte of each value of the signature."""
+    values = signatures(sets, offsets)
+    return np.stack([(mix64(v) & np.uint64(255)).astype(np.uint8) for v in values], 1)
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, raw, at in chunks(batch.column("text")):
@@ -69,7 +86,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(full):
                 starts = offsets[:-1][full]
                 for k in range(2):
-                    keys[k, full] = np.add.reduceat(mix64(sets + np.uint64(k + 1) * np.uint64(BASE)), starts)
+                    keys[k, full] = np.add.reduceat(mix64(sets ^ np.uint64(BASE >> k)), starts)
                 flat = band_keys(sets, np.append(starts, len(sets))).ravel()
                 lists[1:] = np.cumsum(np.where(sizes > 0, BANDS, 0))
             bands = pa.ListArray.from_arrays(pa.array(lists.astype(np.int32)), pa.array(flat.view(np.int64)))
@@ -82,7 +99,54 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi, raw, at in chunks(batch.column("text")):
             sets, offsets = shingle_sets(raw, at)
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(sets.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), lists], ["id", "shingles"])
+            full = np.flatnonzero(np.diff(offsets))
+            bytes_of = [b""] * (hi - lo)
+            if len(full):
+                for i, row in zip(full.tolist(), sketches(sets, np.append(offsets[:-1][full], len(sets))), strict=True):
+                    bytes_of[i] = row.tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), lists, pa.array(bytes_of, pa.binary())], ["id", "shingles", "sketch"])
+
+
+def compare(group: pa.Table) -> pa.Table:
+    """Links between different components of a bucket, or of two blocks of it: as many as it takes to join what belongs together.
+
+    Pairs that may reach the threshold go from the likeliest down; a pair that is
+    connected by then is skipped, any other is held against the full sets.
+    """
+    group = group.combine_chunks()
+    ids, n, c, block, lo, hi = (group.column(x).to_numpy() for x in ("id", "n", "c", "block", "lo", "hi"))
+    rows = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
+    lists = group.column("shingles").combine_chunks()
+    flat, at = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+    comp = np.unique(c, return_inverse=True)[1]
+    largest = np.bincount(comp).argmax()
+    first, second, alike = [], [], []
+    for i in np.flatnonzero(comp != largest).tolist():
+        other = (comp != comp[i]) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * PERCENT)
+        other &= (comp == largest) | (ids > ids[i])
+        if lo[0] != hi[0]:
+            other &= block != block[i]
+        with_i = np.flatnonzero(other)
+        if len(with_i):
+            estimate = (rows[with_i] == rows[i]).mean(1)
+            with_i = with_i[estimate >= ESTIMATE]
+            first.append(np.full(len(with_i), i))
+            second.append(with_i)
+            alike.append(estimate[estimate >= ESTIMATE])
+    links = []
+    if first:
+        first, second, alike = map(np.concatenate, (first, second, alike))
+        by = np.argsort(-alike, kind="stable")
+        for some in np.array_split(by, max(1, len(by) // 4096)):
+            some = some[comp[first[some]] != comp[second[some]]]
+            for i, j in zip(first[some].tolist(), second[some].tolist(), strict=True):
+                if comp[i] != comp[j]:
+                    both = len(np.intersect1d(flat[at[i] : at[i + 1]], flat[at[j] : at[j + 1]], assume_unique=True))
+                    if both * 100 >= (n[i] + n[j] - both) * PERCENT:
+                        links.append((ids[i], ids[j]))
+                        comp[comp == comp[j]] = comp[i]
+    a, b = np.array(links, np.int64).reshape(-1, 2).T
+    return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -93,21 +157,19 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.filter(both * 100 >= (F.size("of_a") + F.size("of_b") - both) * PERCENT).select("a", "b")
 
 
-def _near_sizes(n: str, m: str):
-    return (F.least(n, m) * 100) >= (F.greatest(n, m) * PERCENT)
-
-
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text).
 
     Texts with equal sets are one node of the graph, under their smallest id, so
-    copies cost nothing further. Nodes that share a band are linked as follows.
+    copies cost nothing further. Nodes that share a band are linked in two steps.
     First every node is held against the leader (smallest id) that it meets most
-    often. Then only buckets that still hold several components count: in small
-    ones all pairs across components are held against each other, in large ones
-    some leaders against all, which then leave; until no bucket is left. So a
-    bucket of near copies takes a row for each member, never all pairs, and yet
-    every pair of a bucket is either linked, connected otherwise or refuted.
+    often. Then buckets that still hold several components are looked through:
+    members outside a bucket's largest component are compared with all others by
+    signature, and what may reach the threshold is confirmed until the rest is
+    connected. Large buckets are dealt out in pairs of blocks. So a bucket of near
+    copies takes a row for each member and gives fewer links, never all pairs,
+    and yet every pair of a bucket is either linked, connected otherwise or
+    refuted.
 
     Null and empty texts have no shingles, are linked with nothing and kept. A
     null id never names a component: such a row takes its group's smallest id
@@ -119,7 +181,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     signed = materialize(docs.mapInArrow(_signatures, f"doc_id {kind}, n long, k1 long, k2 long, bands array<long>"), "mh-signed")
-    reps = signed.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"))
+    reps = materialize(signed.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep")), "mh-reps")
     nodes = signed.drop("bands").join(reps, ["k1", "k2", "n"], "left")
     members = materialize(nodes.select("doc_id", "n", "rep"), "mh-members")
     single = signed.join(reps.select("k1", "k2", F.col("rep").alias("doc_id")), ["k1", "k2", "doc_id"], "left_semi")
@@ -127,44 +189,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = rows.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("_last")).filter("leader < _last").drop("_last")
     live = materialize(rows.join(shared, "bucket"), "mh-live")
     wanted = live.select("id").distinct()
-    sets = materialize(docs.withColumnRenamed("doc_id", "id").join(wanted, "id", "left_semi").mapInArrow(_sets, f"id {kind}, shingles array<long>"), "mh-sets")
+    sets = materialize(docs.withColumnRenamed("doc_id", "id").join(wanted, "id", "left_semi").mapInArrow(_sets, f"id {kind}, shingles array<long>, sketch binary"), "mh-sets")
 
     votes = live.filter("id <> leader").groupBy("id", "leader").agg(F.count(F.lit(1)).alias("votes"))
     first = votes.groupBy("id").agg(F.max_by("leader", F.struct("votes", -F.col("leader"))).alias("a")).select("a", F.col("id").alias("b"))
     edges = materialize(_confirm(first, sets), "mh-edges")
     labels = components(edges)
-    open_rows, turn = live.select("bucket", "id", "n"), 0
-    while True:
-        labelled = open_rows.join(labels, "id", "left").withColumn("c", F.coalesce("label", "id")).drop("label")
-        mixed = labelled.groupBy("bucket").agg(F.min("c").alias("_low"), F.max("c").alias("_high"), F.count(F.lit(1)).alias("members")).filter("_low < _high").select("bucket", "members")
-        open_rows = materialize(labelled.join(mixed, "bucket"), "mh-open")
-        if open_rows.isEmpty():
-            break
-        small, large = open_rows.filter(F.col("members") <= SMALL_BUCKET), open_rows.filter(F.col("members") > SMALL_BUCKET)
-        ranked = large.withColumn("_spot", F.row_number().over(Window.partitionBy("bucket").orderBy("id")))
-        leaders = ranked.filter(F.col("_spot") <= LEADERS).drop("_spot")
-        pairs = _across(small, small).union(_across(leaders, large)).distinct()
-        if turn:
-            pairs = pairs.join(held, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "mh-pairs")
-        held = pairs if not turn else materialize(held.union(pairs), "mh-held")
-        new = materialize(_confirm(pairs, sets), "mh-edges")
-        labels = components(materialize(labels.select(F.col("label").alias("a"), F.col("id").alias("b")).union(new), "mh-links"))
-        open_rows = large.join(leaders.select("bucket", "id"), ["bucket", "id"], "left_anti").select("bucket", "id", "n")
-        turn += 1
+    labelled = live.select("bucket", "id", "n").join(labels, "id", "left").withColumn("c", F.coalesce("label", "id")).drop("label")
+    mixed = labelled.groupBy("bucket").agg(F.min("c").alias("_low"), F.max("c").alias("_high"), F.count(F.lit(1)).alias("members")).filter("_low < _high").select("bucket", "members")
+    blocks = F.ceil(F.col("members") / F.lit(block)).cast("int")
+    open_rows = labelled.join(mixed, "bucket").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    open_rows = open_rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    open_rows = open_rows.select("bucket", "id", "n", "c", "block", F.least("block", "_other").alias("lo"), F.greatest("block", "_other").alias("hi"))
+    facing = open_rows.join(sets, "id").groupBy("bucket", "lo", "hi")
+    more = facing.applyInArrow(compare, "a long, b long").union(labels.select(F.col("label").alias("a"), F.col("id").alias("b")))
+    labels = components(materialize(more, "mh-edges"))
     out = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     component = F.coalesce("label", "rep", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _across(some: DataFrame, others: DataFrame) -> DataFrame:
-    """Pairs (a < b) of a bucket that are in different components and near enough in size."""
-    x = some.select("bucket", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"))
-    y = others.select("bucket", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy"))
-    met = x.join(y, "bucket").filter((F.col("cx") != F.col("cy")) & _near_sizes("nx", "ny"))
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-
 def deduplicate(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates, that of the smallest id.
 
