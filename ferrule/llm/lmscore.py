@@ -35,8 +35,10 @@ from ferrule.llm.common import BASE, chunks, crc_of_id, materialize, mix64, smal
 
 #: Bytes of context; grams of ORDER + 1 bytes are handled as 64-bit numbers.
 ORDER = 5
-PART_BYTES = 32_000_000
+PART_BYTES = 24_000_000
 CHUNK = 1_000_000
+#: Counts that a part holds before it sums them up.
+GATHER = 1_500_000
 #: Bytes of text to a hash bucket of keys.
 BUCKET_BYTES = 12_000_000
 END = 255
@@ -80,6 +82,11 @@ def _counted(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return distinct, counts
 
 
+def _summed(keys: list[np.ndarray], sums: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    distinct, which = np.unique(np.concatenate(keys), return_inverse=True)
+    return distinct, np.bincount(which, np.concatenate(sums)).astype(np.int64)
+
+
 def _tally(column: pa.Array, train: np.ndarray, order: int):
     """Distinct grams and words of a part with their counts in training texts."""
     keys, sums = ([], []), ([], [])
@@ -89,14 +96,16 @@ def _tally(column: pa.Array, train: np.ndarray, order: int):
             distinct, n = _counted(key, np.repeat(train[lo:hi], np.diff(offsets)))
             keys[kind].append(distinct)
             sums[kind].append(n)
+            if sum(map(len, keys[kind][1:])) > GATHER:
+                distinct, n = _summed(keys[kind], sums[kind])
+                keys[kind][:], sums[kind][:] = [distinct], [n]
         ends += (hi - lo, int(train[lo:hi].sum()))
     if ends[0]:
         keys[WORD].append(np.array([END_WORD]))
         sums[WORD].append(np.array([ends[1]]))
     for kind in (GRAM, WORD):
         if keys[kind]:
-            distinct, which = np.unique(np.concatenate(keys[kind]), return_inverse=True)
-            yield kind, distinct, np.bincount(which, np.concatenate(sums[kind])).astype(np.int64)
+            yield kind, *_summed(keys[kind], sums[kind])
 
 
 class Lookup:
