@@ -153,7 +153,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fal
                 yield pa.RecordBatch.from_arrays([batch.column("doc").take(of), batch.column("doc_order").take(of), pa.array(h.view(np.int64)), pa.array(seg.view(np.int64)), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32))], ["doc", "doc_order", "h", "seg", "lo", "n"])
 
     found = materialize(docs.mapInArrow(find, "doc long, doc_order long, h long, seg long, lo int, n int"), "rep-anchors")
-    again = found.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h")
+    # Written first: a join of two plain tables can split the rows of a hot anchor among tasks.
+    again = materialize(found.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h"), "rep-again")
     live = materialize(found.join(again, "h"), "rep-live")
     place = F.struct("doc_order", "doc", "lo")
     segs = live.groupBy("h", "seg").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("first"))
