@@ -108,7 +108,7 @@ class Planner:
             for expr, descending in q.order:
                 expr = named.get(text_of(expr), expr) if text_of(expr) not in of.known else expr
                 value = of.lower(expr)
-                columns = [value.column.try_cast("double").isNull(), value.column.try_cast("double"), value.column] if value.untyped and value.string else [value.column]
+                columns = [value.number().isNull(), value.number(), value.column] if value.untyped and value.string else [value.column]
                 keys += [c.desc() if descending else c.asc() for c in columns]
             return rows.orderBy(*keys) if keys else rows
 
