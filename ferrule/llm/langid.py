@@ -15,13 +15,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import chunks, crc_of_id, materialize, small_batches, table
+from ferrule.llm.common import chunks, crc_of_id, discard, materialize, small_batches, table
 
-#: Most (language, three bytes) counts that go to the driver; beyond it the trees have order 1, which has no more than 65536 a language.
+#: Most (language, three bytes) counts in one block of languages, and most languages; further ones go in further passes. A language with more counts is a block of its own.
 MODEL_ROWS = 3_000_000
+BLOCK_LANGUAGES = 100
 #: Distinct counts that a worker gathers before it hands them on.
 GATHER = 2_000_000
 LETTER = re.compile(r"[^\W\d_]")
@@ -80,53 +82,101 @@ def counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def costs(grams: np.ndarray, n: np.ndarray, code: np.ndarray, size: int) -> np.ndarray:
-    """log probability of each (byte, byte, byte) over an alphabet of ``size``; ``code`` maps bytes to it, 0: never seen."""
-    n2 = np.zeros((size, size, size))
-    np.add.at(n2, (code[grams >> 16], code[grams >> 8 & 255], code[grams & 255]), n)
-    levels = [n2, n2.sum(0), n2.sum((0, 1))]
-    log = np.zeros_like(n2)
-    todo = np.ones(n2.shape, bool)
-    excluded = np.zeros(n2.shape, bool)
-    for counts_here in levels:
-        seen = np.broadcast_to(counts_here > 0, n2.shape)
-        free = np.where(excluded, 0.0, counts_here)
-        total, kinds = free.sum(2, keepdims=True), (seen & ~excluded).sum(2, keepdims=True)
-        known = total + kinds > 0
-        hit = todo & seen & ~excluded
-        with np.errstate(divide="ignore", invalid="ignore"):
-            log += np.where(hit, np.log(free / (total + kinds)), 0)
-            log += np.where(todo & ~hit & known, np.log(kinds / np.maximum(total + kinds, 1)), 0)
-        todo &= ~hit
-        excluded = excluded | seen
-    rest = 256 - (levels[2] > 0).sum()
-    return log - np.where(todo, np.log(max(rest, 1)), 0)
+def language(grams: np.ndarray, n: np.ndarray, code: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """Log probabilities of a tree over an alphabet of ``size``, for ``costs``; ``code`` maps bytes to it, 0: never seen.
+
+    They are: the sorted grams and the cost of each; for each pair of bytes before,
+    the share of the cost of a byte that is known after one byte but not after
+    both, and of any other; for each pair of a byte and the one before, whether it
+    was seen and the share of the cost that depends on it.
+    """
+    order = np.argsort(grams)
+    grams, n = grams[order], n[order].astype(np.float64)
+    before, after = pairs(grams, code, size)
+    square = lambda at, values: np.bincount(at, values, minlength=size * size).reshape(size, size)
+    total2, kinds2, n1 = square(before, n), square(before, None), square(after, n)
+    seen, n0 = n1 > 0, n1.sum(0)
+    kinds1, kinds0 = seen.sum(1), (n0 > 0).sum()
+    new1 = kinds1 - kinds2
+    free1 = n1.sum(1) - square(before, n1.ravel()[after]) + new1
+    new0 = (kinds0 - kinds1)[:, None]
+    free0 = (n0 * ~seen).sum(1, keepdims=True) + new0
+    with np.errstate(divide="ignore", invalid="ignore"):
+        escape2 = np.where(kinds2 > 0, np.log(kinds2 / (total2 + kinds2)), 0)
+        known = escape2 - np.where(free1 > 0, np.log(free1), 0)
+        other = escape2 + np.where(new1 > 0, np.log(new1 / free1), 0)
+        unseen = np.where(new0 > 0, np.log(new0 / free0), 0) - np.log(max(256 - kinds0, 1))
+        below = np.where(seen, np.log(n1), np.where(n0 > 0, np.log(n0 / free0), unseen))
+    of_grams = np.log(n / (total2 + kinds2).ravel()[before])
+    return grams.astype(np.int32), *(x.astype(np.float32).ravel() for x in (of_grams, known, other)), seen.ravel(), below.astype(np.float32).ravel()
+
+
+def pairs(grams: np.ndarray, code: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cells of the two bytes before the last one, and of the last two."""
+    middle = code[grams >> 8 & 255].astype(np.int64)
+    return code[grams >> 16] * size + middle, middle * size + code[grams & 255]
+
+
+def costs(grams: np.ndarray, before: np.ndarray, after: np.ndarray, tables: tuple[np.ndarray, ...]) -> np.ndarray:
+    """log probability of the last byte of each gram in one language."""
+    own, of_grams, known, other, seen, below = tables
+    out = np.where(seen[after], known[before], other[before]) + below[after]
+    if len(own):
+        at = np.minimum(np.searchsorted(own, grams), len(own) - 1)
+        out = np.where(own[at] == grams, of_grams[at], out)
+    return out
 
 
 class Model:
-    """Tables of all languages, in plain arrays: the alphabet and the costs."""
+    """Tables of a block of languages, in plain arrays: the alphabet and the log probabilities."""
 
-    def __init__(self, rows: list[tuple[str, int, int]]):
-        self.langs = sorted({r[0] for r in rows}, key=lambda x: x.encode())
-        grams = np.array([r[1] for r in rows], np.int64)
-        lang = np.array([self.langs.index(r[0]) for r in rows], np.int64)
-        n = np.array([r[2] for r in rows], np.float64)
+    def __init__(self, rows: list[tuple[str, int, int]] | pa.Table):
+        if not isinstance(rows, pa.Table):
+            rows = pa.Table.from_pylist([{"lang": x, "gram": g, "n": n} for x, g, n in rows], pa.schema({"lang": pa.string(), "gram": pa.int64(), "n": pa.int64()}))
+        names, grams, n = rows.column("lang"), rows.column("gram").to_numpy(), rows.column("n").to_numpy()
+        self.langs = sorted(pc.unique(names).to_pylist(), key=lambda x: x.encode())
+        lang = pc.index_in(names, pa.array(self.langs, names.type)).to_numpy()
         seen = np.unique(np.concatenate([grams & 255, grams >> 8 & 255, grams >> 16, [0]]))
         self.code = np.zeros(256, np.int32)
         self.code[seen] = np.arange(1, len(seen) + 1)
         self.size = len(seen) + 1
-        self.tables = [costs(grams[lang == i], n[lang == i], self.code, self.size).astype(np.float32).ravel() for i in range(len(self.langs))]
+        by = np.argsort(lang, kind="stable")
+        ends = np.cumsum(np.bincount(lang, minlength=len(self.langs)))[:-1] if self.langs else []
+        self.tables = [language(grams[i], n[i], self.code, self.size) for i in np.split(by, ends)] if self.langs else []
+
+
+def distinct(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different grams, and for each of ``grams`` its place among them."""
+    seen = np.zeros(1 << 24, bool)
+    seen[grams] = True
+    found = np.flatnonzero(seen)
+    place = np.empty(1 << 24, np.int32)
+    place[found] = np.arange(len(found))
+    return found, place[grams]
 
 
-def code_lengths(raw: np.ndarray, at: np.ndarray, code: np.ndarray, size: int, tables: list[np.ndarray]) -> np.ndarray:
+def code_lengths(raw: np.ndarray, at: np.ndarray, code: np.ndarray, size: int, tables: list[tuple[np.ndarray, ...]]) -> np.ndarray:
     """(texts, languages): natural log of each text's probability."""
-    gram = contexts(raw, at)
-    cell = (code[gram >> 16] * size + code[gram >> 8 & 255]) * size + code[gram & 255]
     out = np.zeros((len(at) - 1, len(tables)))
     full = np.flatnonzero(np.diff(at))
     if len(full):
-        for i, costs_here in enumerate(tables):
-            out[full, i] = np.add.reduceat(costs_here[cell], at[:-1][full], dtype=np.float64)
+        grams, place = distinct(contexts(raw, at))
+        before, after = pairs(grams, code, size)
+        for i, of_language in enumerate(tables):
+            out[full, i] = np.add.reduceat(costs(grams, before, after, of_language)[place], at[:-1][full], dtype=np.float64)
+    return out
+
+
+def blocks_of(sizes: list[tuple[str, int]], model_rows: int) -> list[list[str]]:
+    """Languages in order, in blocks of about ``model_rows`` counts; a single empty block if there are none."""
+    out: list[list[str]] = [[]]
+    held = 0
+    for lang, n in sorted(sizes, key=lambda x: x[0].encode()):
+        if out[-1] and (held + n > model_rows or len(out[-1]) == BLOCK_LANGUAGES):
+            out.append([])
+            held = 0
+        out[-1].append(lang)
+        held += n
     return out
 
 
@@ -139,42 +189,73 @@ def identify(docs: DataFrame, training: DataFrame, model_rows: int = MODEL_ROWS)
     its posterior under equal priors. Null texts and texts without a letter, and
     all texts if nothing was learned, are ``und`` with score 0. Null languages
     teach nothing; repeated rows count repeatedly; empty tables give no rows.
+
+    Languages go in blocks of at most ``model_rows`` counts (or one language),
+    each a pass over the documents that carries on the best language and the sum
+    for its posterior. Every language keeps its whole tree, so predictions do
+    not depend on the blocks.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.drop("lang_pred", "lang_score")
+    out = docs.drop("lang_pred", "lang_score")
     grams = materialize(counts(training.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")), "lang-counts")
-    if grams.count() > model_rows:
-        grams = grams.groupBy("lang", F.expr("gram & 65535").alias("gram")).agg(F.sum("n").alias("n"))
-    model = Model([(r.lang, r.gram, r.n) for r in grams.collect()])
-    langs, code, size = model.langs, model.code, model.size
-    tables = spark.sparkContext.broadcast(model.tables)
+    blocks = blocks_of([tuple(r) for r in grams.groupBy("lang").count().collect()], model_rows)
+    for k, block in enumerate(blocks):
+        part = grams.filter(F.col("lang").between(block[0], block[-1])) if len(blocks) > 1 else grams
+        model = Model(part.toArrow())
+        tables = spark.sparkContext.broadcast(model.tables)
+        first, last = k == 0, k == len(blocks) - 1
+        score = F.lit(0.0) if last else F.struct(F.lit(0.0).alias("top"), F.lit(0.0).alias("sum"))
+        schema = out.limit(0).withColumns({"lang_pred": F.lit("").cast("string"), "lang_score": score}).schema
+        earlier, out = out, out.mapInArrow(scorer(model.langs, model.code, model.size, tables, first, last), schema)
+        if not last:
+            out = materialize(out, "lang-pass")
+            tables.unpersist()
+            if not first and (files := earlier.inputFiles()):
+                discard(spark, files[0].rpartition("/")[0])
+    return out
+
+
+def scorer(langs: list[str], code: np.ndarray, size: int, tables, first: bool, last: bool):
+    """The pass over documents for one broadcast block of languages."""
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = np.zeros(256, bool)
         letters[65:91] = letters[97:123] = True
         for batch in batches:
-            column, names, scores = batch.column("text"), [], []
+            column, logs, letter = batch.column("text"), [np.empty((0, len(langs)))], [np.empty(0, bool)]
             for lo, hi, raw, at in chunks(column):
-                has = np.zeros(hi - lo, bool)
-                full = np.flatnonzero(np.diff(at))
-                if len(full):
-                    has[full] = np.logical_or.reduceat(letters[raw], at[:-1][full])
-                for i in np.flatnonzero(~has & (np.diff(at) > 0)).tolist():
-                    has[i] = bool(LETTER.search(column[lo + i].as_py()))
-                if not langs:
-                    has[:] = False
-                    best, score = np.zeros(hi - lo, int), np.zeros(hi - lo)
-                else:
-                    log = code_lengths(raw, at, code, size, tables.value)
-                    best = log.argmax(1)
-                    score = 1 / np.exp(log - log.max(1, keepdims=True)).sum(1)
-                names += [langs[b] if h else "und" for b, h in zip(best.tolist(), has.tolist(), strict=True)]
-                scores.append(np.where(has, score, 0.0))
-            new = [pa.array(names, pa.string()), pa.array(np.concatenate(scores) if scores else np.empty(0))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "lang_pred", "lang_score"])
-
-    return docs.mapInArrow(predict, docs.limit(0).withColumns({"lang_pred": F.lit("").cast("string"), "lang_score": F.lit(0.0)}).schema)
+                if langs:
+                    logs.append(code_lengths(raw, at, code, size, tables.value))
+                if last:
+                    has = np.zeros(hi - lo, bool)
+                    full = np.flatnonzero(np.diff(at))
+                    if len(full):
+                        has[full] = np.logical_or.reduceat(letters[raw], at[:-1][full])
+                    for i in np.flatnonzero(~has & (np.diff(at) > 0)).tolist():
+                        has[i] = bool(LETTER.search(column[lo + i].as_py()))
+                    letter.append(has)
+            if langs:
+                log, has = np.concatenate(logs), np.concatenate(letter)
+                top, pred = log.max(1), np.array(langs, object)[log.argmax(1)]
+                total = np.exp(log - top[:, None]).sum(1)
+            else:
+                has = np.zeros(len(column), bool)
+                top, pred, total = np.zeros(len(column)), np.full(len(column), "und", object), np.ones(len(column))
+            if not first:
+                old_top, old_total = (batch.column("lang_score").field(x).to_numpy() for x in ("top", "sum"))
+                pred = np.where(top > old_top, pred, np.array(batch.column("lang_pred").to_pylist(), object))
+                most = np.maximum(top, old_top)
+                total = old_total * np.exp(old_top - most) + total * np.exp(top - most)
+                top = most
+            if last:
+                new = [pa.array(np.where(has, pred, "und"), pa.string()), pa.array(np.where(has, 1 / total, 0.0))]
+            else:
+                new = [pa.array(pred, pa.string()), pa.StructArray.from_arrays([pa.array(top), pa.array(total)], ["top", "sum"])]
+            kept = [c for c in batch.schema.names if c not in ("lang_pred", "lang_score")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *new], names=[*kept, "lang_pred", "lang_score"])
+
+    return predict
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,6 +88,29 @@ def test_language_odd_rows(spark, clashing, nothing):
     assert small.filter("lang_pred <> 'und'").count() > 0
 
 
+def test_language_blocks_change_nothing(spark):
+    """Four languages of equal pairs of bytes: only whole trees tell them apart, in blocks of any size."""
+    cycles = {"w": b"abcabd", "x": b"abdabc" * 2 + b"cab", "y": b"bcabda", "z": b"cabcabdd"}
+    train = [(lang, (c * 30).decode()) for lang, c in cycles.items()] + [("v", "zzz"), ("\u00e9", "caf\u00e9 ol\u00e9")]
+    docs = [(i, (c * k).decode()) for i, (c, k) in enumerate((c, k) for c in cycles.values() for k in (1, 2, 5))] + [(100, None), (101, ""), (102, "123"), (103, "\u00e9\u4e2d"), (104, "q")]
+    learned = {lang: learn([t.encode()], 2, b"") for lang, t in train}
+    want = {}
+    for i, text in docs:
+        if text and re.search(r"[^\W\d_]", text):
+            log = {lang: ppm(c, text.encode(), 2, b"", math.log) for lang, c in learned.items()}
+            best = max(sorted(log), key=lambda x: log[x])
+            want[i] = (best, 1 / sum(math.exp(v - log[best]) for v in log.values()))
+        else:
+            want[i] = ("und", 0.0)
+    docs, train = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(train, "lang string, text string")
+    for model_rows in (1, 20, 10**6):
+        got = langid.identify(docs, train, model_rows=model_rows)
+        assert got.columns == ["doc_id", "text", "lang_pred", "lang_score"]
+        got = {r.doc_id: (r.lang_pred, r.lang_score) for r in got.collect()}
+        assert {i: x[0] for i, x in got.items()} == {i: x[0] for i, x in want.items()}
+        assert all(abs(got[i][1] - want[i][1]) < 1e-3 for i in want)
+
+
 def test_language_held_out_accuracy(spark, sf):
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     got = [r for r in langid.op4_language(spark, sf).collect()]
