@@ -47,10 +47,13 @@ def shape_pairs(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def byte_trigrams(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of each byte with the two before it, 0 before a text's start, and offsets by text."""
     x = raw.astype(np.uint64)
-    gram = x.copy()
-    gram[1:] |= x[:-1] << np.uint64(8)
-    gram[2:] |= x[:-2] << np.uint64(16)
+    before = np.zeros((2, len(x)), np.uint64)
+    before[0, 1:], before[1, 2:] = x[:-1], x[:-2]
+    before[:, at[:-1][np.diff(at) > 0]] = 0
+    before[1, at[:-1][np.diff(at) > 1] + 1] = 0
+    gram = before[1] << np.uint64(16) | before[0] << np.uint64(8) | x
     return (mix64(gram + np.uint64(BASE)) % np.uint64(BUCKETS)).astype(np.int64) + BUCKETS, at
 
 

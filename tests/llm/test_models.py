@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from ferrule.llm import langid, licenses, lmscore, quality
+from ferrule.llm.common import BASE, mix64
 
 
 def ppm(counts, text, order, end, log=math.log10):
@@ -138,6 +139,47 @@ def test_quality_accuracy_beyond_the_fitted_sample(spark, sf):
     assert sum(right) / len(right) > 0.99
 
 
+def test_quality_against_brute_force(spark):
+    """Each text by itself, whatever stands before it in a batch; texts of a few bytes among long ones."""
+    rows = [(i, t) for i, t in enumerate(["a", "ab", "Zebra! Zebra!", "", None, "b", "?? ?? 17", "the cat sat on the mat " * 20, "THE 9", "ab", "\u00e9", "x", "q u", "a"] * 3)]
+    labels = [(0, 1), (2, 1), (7, 1), (14, 1), (6, 0), (8, 0), (20, 0), (22, 0)]
+    good = {i for i, q in labels if q}
+
+    def grams(text):
+        data = (text or "").encode()
+        padded, out = b"\0\0" + data, [[], []]
+        for i in range(len(data)):
+            out[1].append(int(mix64(np.array([int.from_bytes(padded[i : i + 3])], np.uint64) + np.uint64(BASE))[0]) % quality.BUCKETS)
+        before = None
+        for w in data.split():
+            capitals, signs = (sum(x in r for x in w) for r in (range(65, 91), [x for x in range(128) if not chr(x).isalpha()]))
+            shape = (((min(len(w), 15) * 4 + min(capitals, 3)) * 4 + min(signs, 3)) * 128 + (w[-1] if w[-1] < 65 else 0)) * 2 + (before is not None and w.lower() == before[0])
+            key = (shape * BASE + (before[1] if before else 0)) % (1 << 64)
+            out[0].append(int(mix64(np.array([key], np.uint64))[0]) % quality.BUCKETS)
+            before = (w.lower(), shape)
+        return out
+
+    all_grams = {i: grams(t) for i, t in rows}
+    want = dict.fromkeys(all_grams, 0.0)
+    for kind in range(2):
+        raw, target = collections.Counter(), collections.Counter()
+        for i, g in all_grams.items():
+            raw.update(g[kind])
+            if i in good:
+                target.update(g[kind])
+        share = lambda c, b: (c[b] + quality.SMOOTHING) / (sum(c.values()) + quality.SMOOTHING * quality.BUCKETS)
+        for i, g in all_grams.items():
+            want[i] += sum(math.log(share(target, b) / share(raw, b)) for b in g[kind]) / max(1, len(g[kind]))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    least = set()
+    for dealt in (docs.coalesce(1), docs.repartition(5, "doc_id"), docs.orderBy(docs.doc_id.desc()).coalesce(1)):
+        keys, _, at = quality.resample(dealt, labels)
+        got = {r.doc_id: r.quality_score for r in keys.collect()}
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+        least.add(round(at, 9))
+    assert len(least) == 1
+
+
 def test_kth_largest(spark):
     values = [1.5, -2.0, 7.25, 7.25, 7.25, 0.0, 1e-300, -1e300, 3.0, 3.0000000000000004]
     df = spark.createDataFrame([(v,) for v in values], "quality_key double")
