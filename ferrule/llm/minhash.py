@@ -3,8 +3,12 @@
 Minimum and maximum of one permutation agree between two sets with the Jaccard
 similarity each, nearly independently, so half the hash evaluations give a
 signature of the same length and no more variance. Six values make a band.
-With 72 bands a pair at the threshold of 0.75 shares none with probability
-(1 - 0.75**6)**72 < 1e-6. What shares a band is confirmed on the full sets.
+In a union of u shingles, 0.75 u of them common, both agree with probability
+q = 0.75 (0.75 u - 1) / (u - 1), which is 1/2 for u = 4 and nears 0.75**2 only for
+large u. With 72 bands a pair at the threshold of 0.75 shares none with probability
+(1 - q**3)**72, below 1e-6 from u = 56 on. Sets of up to 60 shingles therefore have
+108 bands: at worst, u = 4, (1 - 0.5**3)**108 < 1e-6. What shares a band is
+confirmed on the full sets.
 
 A signature of 432 values estimates the similarity with a standard deviation of
 0.021 at the threshold. So pairs that still matter after the first round are
@@ -25,6 +29,8 @@ from ferrule.llm.components import components
 
 SHINGLE = 5
 BANDS, PERMUTATIONS_A_BAND = 72, 3
+#: Sets of up to so many shingles have further bands.
+SMALL, SMALL_BANDS = 60, 36
 PERCENT = 75
 #: Least estimated similarity of a pair that is confirmed on the full sets.
 ESTIMATE = 0.65
@@ -47,27 +53,42 @@ def shingle_sets(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return got, np.searchsorted(doc, np.arange(len(counts) + 1))
 
 
-def signatures(sets: np.ndarray, offsets: np.ndarray):
-    """The minima and the maxima of each permutation; every text has a shingle."""
+def signatures(sets: np.ndarray, offsets: np.ndarray, first: int = 0, bands: int = BANDS):
+    """The minima and the maxima of each permutation of the bands from ``first`` on; every text has a shingle."""
     starts = offsets[:-1]
-    factors = mix64(np.arange(1, 2 * BANDS * PERMUTATIONS_A_BAND + 1, dtype=np.uint64) * np.uint64(BASE)) | np.uint64(1)
+    values = np.arange(2 * first * PERMUTATIONS_A_BAND + 1, 2 * (first + bands) * PERMUTATIONS_A_BAND + 1, dtype=np.uint64)
+    factors = mix64(values * np.uint64(BASE)) | np.uint64(1)
     for i in range(0, len(factors), 2):
         value = sets * factors[i] + factors[i + 1]
         yield np.minimum.reduceat(value, starts)
         yield np.maximum.reduceat(value, starts)
 
 
-def band_keys(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def band_keys(sets: np.ndarray, offsets: np.ndarray, first: int = 0, bands: int = BANDS) -> np.ndarray:
     """A (texts, bands) array of band hashes."""
-    out = np.empty((len(offsets) - 1, BANDS), np.uint64)
-    for i, values in enumerate(signatures(sets, offsets)):
+    out = np.empty((len(offsets) - 1, bands), np.uint64)
+    for i, values in enumerate(signatures(sets, offsets, first, bands)):
         band = i // (2 * PERMUTATIONS_A_BAND)
         if i % (2 * PERMUTATIONS_A_BAND) == 0:
-            out[:, band] = band + 1
+            out[:, band] = first + band + 1
         out[:, band] = mix64(out[:, band] * np.uint64(BASE) + values)
     return out
 
 
+def all_band_keys(sets: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Band hashes of each text, end to end, and their number by text; small sets have more."""
+    sizes = np.diff(offsets)
+    small = sizes <= SMALL
+    counts = np.where(small, BANDS + SMALL_BANDS, BANDS)
+    keys, ends = np.empty(counts.sum(), np.uint64), np.cumsum(counts)
+    starts = ends - counts
+    keys[starts[:, None] + np.arange(BANDS)] = band_keys(sets, offsets)
+    if small.any():
+        own = np.concatenate([[0], np.cumsum(sizes[small])])
+        keys[starts[small, None] + np.arange(BANDS, BANDS + SMALL_BANDS)] = band_keys(sets[np.repeat(small, sizes)], own, BANDS, SMALL_BANDS)
+    return keys, counts
+
+
 def sketches(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """A (texts, values) array with a byte of each value of the signature."""
     values = signatures(sets, offsets)
@@ -87,8 +108,8 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 starts = offsets[:-1][full]
                 for k in range(2):
                     keys[k, full] = np.add.reduceat(mix64(sets ^ np.uint64(BASE >> k)), starts)
-                flat = band_keys(sets, np.append(starts, len(sets))).ravel()
-                lists[1:] = np.cumsum(np.where(sizes > 0, BANDS, 0))
+                flat, lists[full + 1] = all_band_keys(sets, np.append(starts, len(sets)))
+                lists = np.cumsum(lists)
             bands = pa.ListArray.from_arrays(pa.array(lists.astype(np.int32)), pa.array(flat.view(np.int64)))
             ids = batch.column("doc_id").slice(lo, hi - lo)
             yield pa.RecordBatch.from_arrays([ids, pa.array(sizes.astype(np.int64)), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), bands], ["doc_id", "n", "k1", "k2", "bands"])
