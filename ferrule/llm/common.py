@@ -6,6 +6,7 @@ import atexit
 import shutil
 import sys
 import tempfile
+import time
 import types
 import uuid
 import zlib
@@ -13,7 +14,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Functions of this subpackage travel inside the task, so executors need no copy of it.
@@ -21,18 +22,19 @@ cloudpickle.register_pickle_by_value(sys.modules[__package__])
 
 #: Bytes of text that a Python worker handles at a time.
 CHUNK_BYTES = 2_000_000
-#: Rows in an Arrow batch; documents are some kilobytes each.
-BATCH_ROWS = 1000
 
 _OWN_DIR: list[str] = []
+_COLLECTED = [0.0]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset and all runs on one machine."""
     if folder := spark.conf.get("spark.checkpoint.dir", None):
         return folder.rstrip("/")
     if found := spark.sparkContext.getCheckpointDir():
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _OWN_DIR:
         _OWN_DIR.append(tempfile.mkdtemp(prefix="ferrule-"))
         atexit.register(shutil.rmtree, _OWN_DIR[0], ignore_errors=True)
@@ -45,14 +47,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
     This cuts the lineage, survives the loss of executors and gives the
     optimizer real sizes. The files go when the session ends. Shuffle files that
-    only led up to the table are unreachable now; a collection on the driver has
-    them deleted.
+    only led up to the table are unreachable now; a collection on the driver, at
+    most every few seconds, has them deleted.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     atexit.register(discard, spark, path)
-    spark.sparkContext._jvm.System.gc()
+    if time.monotonic() - _COLLECTED[0] > 5:
+        spark.sparkContext._jvm.System.gc()
+        _COLLECTED[0] = time.monotonic()
     return spark.read.parquet(path)
 
 
@@ -65,15 +69,38 @@ def discard(spark: SparkSession, path: str) -> None:
         return
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keep Arrow batches small: texts are long and workers have a few hundred MB."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def packed(docs: DataFrame):
+    """All columns of ``docs`` as one, ``row``: a user's names then clash with none of ours, and ``row.*`` gives them back."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("row")
+
+
+def ranked(rows: DataFrame, order: list, name: str, by: list[str] = ()) -> DataFrame:
+    """``rows`` with ``name``: the place of each by ``order``, gapless from 0, within each value of the columns ``by``.
+
+    ``order`` begins with the order of ``by``. Rows are dealt by range of it, with
+    a salt so that equal rows are dealt out too; no value of ``by`` meets in one
+    task. Sizes of the parts give each part its first place. Names that begin
+    with _ranked_ are for use within.
+    """
+    keys = [F.col(c) if isinstance(c, str) else c for c in order]
+    parts = rows.withColumn("_ranked_salt", F.monotonically_increasing_id()).repartitionByRange(*keys, "_ranked_salt")
+    parts = materialize(parts.drop("_ranked_salt").withColumn("_ranked_part", F.spark_partition_id()), "ranked")
+    counts = parts.groupBy(*by, "_ranked_part").agg(F.count(F.lit(1)).alias("_ranked_rows"))
+    # At most a row for each part in each window.
+    first = F.sum("_ranked_rows").over(Window.partitionBy(*by).orderBy("_ranked_part")) - F.col("_ranked_rows")
+    firsts = materialize(counts.select(*[F.col(c).alias(f"_ranked_{i}") for i, c in enumerate(by)], F.col("_ranked_part").alias("_ranked_own"), first.alias("_ranked_first")), "ranked-firsts")
+    spot = F.row_number().over(Window.partitionBy(*by, "_ranked_part").orderBy(*keys)) - 1
+    on = F.col("_ranked_part") == F.col("_ranked_own")
+    for i, c in enumerate(by):
+        on &= F.col(c).eqNullSafe(F.col(f"_ranked_{i}"))
+    out = parts.withColumn("_ranked_at", spot).join(firsts, on).withColumn(name, (F.col("_ranked_first") + F.col("_ranked_at")).cast("long"))
+    return out.drop("_ranked_part", "_ranked_at", "_ranked_first", "_ranked_own", *[f"_ranked_{i}" for i in range(len(by))])
+
+
 def crc_of_id(col: str = "doc_id"):
     """crc32 of the id written as text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary"))

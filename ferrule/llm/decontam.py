@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ferrule.llm.common import chunks, materialize, running, small_batches, spans, table, word_table, words
+from ferrule.llm.common import chunks, materialize, running, spans, table, word_table, words
 
 #: Most windows in one broadcast (about 100 bytes each); further ones go in further passes.
 BLOCK_WINDOWS = 200_000
@@ -92,7 +92,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_wind
     pass through, and columns named like the new ones are replaced.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     docs = docs.drop("bench_words", "bench_hits", "bench_items")
     found = materialize(windows_of(benchmark, n), "bench-windows")
     count = found.count()

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import chunks, crc_of_id, discard, materialize, small_batches, table
+from ferrule.llm.common import chunks, crc_of_id, discard, materialize, table
 
 #: Most (language, three bytes) counts in one block of languages, and most languages; further ones go in further passes. A language with more counts is a block of its own.
 MODEL_ROWS = 3_000_000
@@ -196,7 +196,6 @@ def identify(docs: DataFrame, training: DataFrame, model_rows: int = MODEL_ROWS)
     not depend on the blocks.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     out = docs.drop("lang_pred", "lang_score")
     grams = materialize(counts(training.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")), "lang-counts")
     blocks = blocks_of([tuple(r) for r in grams.groupBy("lang").count().collect()], model_rows)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import chunks, small_batches, table, word_table, words
+from ferrule.llm.common import chunks, table, word_table, words
 
 # The phrases of the base labels.
 BASE_PHRASES = {
@@ -160,7 +160,6 @@ def scan_licenses(docs: DataFrame, templates=None) -> DataFrame:
     one by one; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     docs = docs.drop("lic_words", "lic_places", "lic_matches")
     index = build(*document_counts(docs, templates), templates)
     # The index is plain arrays: a few kilobytes inside the task.

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import BASE, chunks, crc_of_id, materialize, mix64, small_batches, table, word_table, words
+from ferrule.llm.common import BASE, chunks, crc_of_id, materialize, mix64, table, word_table, words
 
 #: Bytes of context; grams of ORDER + 1 bytes are handled as 64-bit numbers.
 ORDER = 5
@@ -286,7 +286,6 @@ def score_documents(docs: DataFrame, order: int = ORDER, part_bytes: int = PART_
     columns play no part.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("train", F.lit(False)).alias("train"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(-(-size // part_bytes), 2 * spark.sparkContext.defaultParallelism)

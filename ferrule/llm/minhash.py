@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import BASE, chunks, materialize, mix64, running, small_batches, spans, table, word_table, words
+from ferrule.llm.common import BASE, chunks, materialize, mix64, running, spans, table, word_table, words
 from ferrule.llm.components import components
 
 SHINGLE = 5
@@ -198,7 +198,6 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     Other columns play no part; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     signed = materialize(docs.mapInArrow(_signatures, f"doc_id {kind}, n long, k1 long, k2 long, bands array<long>"), "mh-signed")

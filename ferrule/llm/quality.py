@@ -1,13 +1,15 @@
 """Quality classification by importance resampling.
 
 Two generative models over hashed n-grams, one of the target (documents labelled
-good), one of the raw corpus (all documents); a document's importance is the mean
-log ratio of its n-grams, and documents are sampled without replacement in
-proportion to exp(importance / temperature) by Gumbel top-k.
+good), one of the raw corpus (all documents); a document's importance is the
+log ratio of its probabilities under both, summed over all its n-grams, and
+documents are sampled without replacement in proportion to their importance
+weights (to the power of 1 / temperature) by Gumbel top-k.
 
 The n-grams are pairs of neighbouring word shapes (length, capitals, signs, last
 sign, whether the word repeats the one before) and byte trigrams; each kind
-falls into buckets of its own.
+falls into buckets of its own and is a model of its own, so the ratio is that of
+the products of both.
 """
 
 from __future__ import annotations
@@ -19,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import BASE, chunks, materialize, mix64, small_batches, table, word_table, words
+from ferrule.llm.common import BASE, chunks, materialize, mix64, packed, table, word_table, words
 
 BUCKETS = 1 << 16
-SMOOTHING = 0.1
-TEMPERATURE = 0.1
+#: Added to each bucket's count in both models.
+SMOOTHING = 1.0
+#: 1 samples in proportion to the likelihood ratio itself; smaller values come nearer to a plain cut.
+TEMPERATURE = 1.0
 #: Most labelled documents that the target model and the cut learn from.
 LABELLED = 20_000
 #: Buckets of a round of the search for the k-th key.
@@ -61,12 +65,12 @@ KINDS = (shape_pairs, byte_trigrams)
 
 
 def importance(raw: np.ndarray, at: np.ndarray, ratio: np.ndarray) -> np.ndarray:
-    """Sum over the kinds of the mean log ratio of a text's n-grams; 0 without any."""
+    """log of the ratio of a text's probabilities in the two models: the sum over all its n-grams of both kinds; 0 without any."""
     out = np.zeros(len(at) - 1)
     for kind in KINDS:
         bucket, offsets = kind(raw, at)
         n = np.diff(offsets)
-        out += np.bincount(np.repeat(np.arange(len(n)), n), ratio[bucket], minlength=len(n)) / np.maximum(n, 1)
+        out += np.bincount(np.repeat(np.arange(len(n)), n), ratio[bucket], minlength=len(n))
     return out
 
 
@@ -94,17 +98,16 @@ def log_ratio(docs: DataFrame, good: list) -> np.ndarray:
     return np.log(parts[1] / parts[0]).ravel() if good else np.zeros(len(KINDS) * BUCKETS)
 
 
-def _scored(docs: DataFrame, ratio: np.ndarray, seed: int) -> DataFrame:
-    """``docs`` with quality_score and quality_key (replaced if present), the same on every run."""
-    docs = docs.drop("quality_score", "quality_key")
+def _scored(docs: DataFrame, ratio: np.ndarray, seed: int, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of ``docs`` with quality_score and quality_key, the same on every run."""
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [importance(raw, at, shared.value) for _, _, raw, at in chunks(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(got) if got else np.empty(0))], names=[*batch.schema.names, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, keep), pa.array(np.concatenate(got) if got else np.empty(0))], names=[*keep, "quality_score"])
 
-    out = docs.mapInArrow(score, docs.limit(0).withColumn("quality_score", F.lit(0.0)).schema)
+    out = docs.mapInArrow(score, docs.limit(0).select(*keep, F.lit(0.0).alias("quality_score")).schema)
     u = (F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
     return out.withColumn("quality_key", F.col("quality_score") - F.lit(TEMPERATURE) * F.log(-F.log(u)))
 
@@ -130,43 +133,48 @@ def kth_largest(keys: DataFrame, k: int) -> float:
     return lo
 
 
-def resample(docs: DataFrame, labels: DataFrame, seed: int = 1, labelled: int = LABELLED) -> tuple[DataFrame, DataFrame, float]:
-    """(keys, scored, least): a table of ids, scores and keys, ``docs`` with quality_score and quality_key, and the least key that is kept.
+def resample(docs: DataFrame, labels: DataFrame, seed: int = 1, labelled: int = LABELLED, keep: list[str] | None = None) -> tuple[DataFrame, float]:
+    """(scored, least): a written table of ``docs`` with quality_score and quality_key (replaced if present), and the least key that is kept.
 
     The target model learns from up to ``labelled`` documents with a label,
     those with the smallest hashes of doc_id; both models' other counts, the
     scores and the sampling cover all documents. k is the number of documents
     whose score lies above the cut, half way between the lowest hundredth of
-    labelled good documents and the highest hundredth of bad ones.
+    labelled good documents and the highest hundredth of bad ones. ``keep``: the
+    columns of ``docs`` that the table carries (doc_id among them), all by default.
 
     A null or empty text scores 0. Labels without id or value are left out, a
     document with several is good only if all say so. Without good or without
     bad labels everything is kept. Ties at the threshold are all kept, rows with
     a null id share one draw, repeated rows are sampled alike, an empty table
-    gives no rows, other columns pass through.
+    gives no rows, other columns pass through. doc_id may be of any type that
+    labels has too.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    docs = docs.drop("quality_score", "quality_key")
     sample = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     rows = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled).collect()
     good = [r.doc_id for r in rows if r.quality > 0]
     bad = [r.doc_id for r in rows if r.quality <= 0]
-    scored = _scored(docs, log_ratio(docs, good), seed)
-    keys = materialize(scored.select("doc_id", "quality_score", "quality_key"), "quality-keys")
-    known = keys.join(F.broadcast(spark.createDataFrame([(r.doc_id, r.quality > 0) for r in rows], "_id long, good boolean")), F.col("doc_id") == F.col("_id"))
-    edges = {r.good: (r.low, r.high) for r in known.groupBy("good").agg(F.percentile_approx("quality_score", 0.01, 10000).alias("low"), F.percentile_approx("quality_score", 0.99, 10000).alias("high")).collect()}
-    if not (good and bad and True in edges and False in edges):
-        return keys, scored, -np.inf
+    scored = materialize(_scored(docs, log_ratio(docs, good), seed, keep or docs.columns), "quality-scored")
+    if not (good and bad):
+        return scored, -np.inf
+    kind = labels.schema["doc_id"].dataType.simpleString()
+    known = docs.sparkSession.createDataFrame([(r.doc_id, r.quality > 0) for r in rows], f"_labelled {kind}, _good boolean")
+    known = scored.select("doc_id", "quality_score").join(F.broadcast(known), F.col("doc_id") == F.col("_labelled"))
+    edges = {r._good: (r.low, r.high) for r in known.groupBy("_good").agg(F.percentile_approx("quality_score", 0.01, 10000).alias("low"), F.percentile_approx("quality_score", 0.99, 10000).alias("high")).collect()}
+    if not (True in edges and False in edges):
+        return scored, -np.inf
     cut = (edges[True][0] + edges[False][1]) / 2
-    return keys, scored, kth_largest(keys, keys.filter(F.col("quality_score") >= cut).count())
+    keys = scored.select("quality_key")
+    return scored, kth_largest(keys, scored.filter(F.col("quality_score") >= cut).count())
 
 
 def select(docs: DataFrame, labels: DataFrame, seed: int = 1) -> DataFrame:
-    """The documents that the sample keeps, with their own columns."""
-    _, scored, least = resample(docs, labels, seed)
-    return scored.filter(F.col("quality_key") >= F.lit(float(least))).select(*docs.columns)
+    """The documents that the sample keeps, with their own columns, whatever their names; nulls, ties and empty tables as ``resample`` has them."""
+    scored, least = resample(docs.select("doc_id", "text", packed(docs)), labels, seed, keep=["doc_id", "row"])
+    return scored.filter(F.col("quality_key") >= F.lit(float(least))).select("row.*")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys, _, least = resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return keys.select("doc_id", F.col("quality_score").alias("score"), F.col("quality_key").alias("sample_key"), (F.col("quality_key") >= F.lit(float(least))).alias("kept"))
+    scored, least = resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), keep=["doc_id"])
+    return scored.select("doc_id", F.col("quality_score").alias("score"), F.col("quality_key").alias("sample_key"), (F.col("quality_key") >= F.lit(float(least))).alias("kept"))

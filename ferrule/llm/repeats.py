@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import byte_codes, chunks, materialize, running, small_batches, spans, table
+from ferrule.llm.common import byte_codes, chunks, materialize, running, spans, table
 
 LENGTH, GRAM = 200, 64
 #: Segments in a task that ranks windows, about; an anchor with more different ones is counted by hashes.
@@ -211,7 +211,6 @@ def mark_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = False
     replaced; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     docs = docs.drop("repeat_spans")
     key = F.xxhash64("doc_id", "text")
     rows = docs.select(key.alias("doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("doc_order"), "text")

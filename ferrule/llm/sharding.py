@@ -11,10 +11,10 @@ from __future__ import annotations
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import materialize, table
+from ferrule.llm.common import ranked, table
 
 
 class Leaf(NamedTuple):
@@ -74,20 +74,8 @@ def assign(docs: DataFrame, shards: int = 16) -> DataFrame:
 
 
 def number(rows: DataFrame, order: list[str]) -> DataFrame:
-    """``slot``: the place of each row in its shard by ``order``, gapless from 0.
-
-    Rows are dealt by range of (shard, order), with a salt so that repeated rows
-    are dealt out too; a shard takes many tasks. Sizes of the parts give each
-    part its first slot.
-    """
-    keys = [F.col(c).asc_nulls_first() for c in order]
-    parts = rows.withColumn("_salt", F.monotonically_increasing_id()).repartitionByRange("shard", *keys, "_salt")
-    parts = materialize(parts.drop("_salt").withColumn("_part", F.spark_partition_id()), "shard-parts")
-    counts = parts.groupBy("shard", "_part").agg(F.count(F.lit(1)).alias("_rows"))
-    first = F.sum("_rows").over(Window.partitionBy("shard").orderBy("_part")) - F.col("_rows")
-    firsts = materialize(counts.select("shard", "_part", first.alias("_first")), "shard-firsts")
-    place_in = F.row_number().over(Window.partitionBy("shard", "_part").orderBy(*keys)) - 1
-    return parts.withColumn("_at", place_in).join(firsts, ["shard", "_part"]).withColumn("slot", (F.col("_first") + F.col("_at")).cast("long")).drop("_part", "_at", "_first")
+    """``slot``: the place of each row in its shard by ``order``, gapless from 0; a shard takes many tasks, an empty table gives no rows."""
+    return ranked(rows.drop("slot"), ["shard", *[F.col(c).asc_nulls_first() for c in order]], "slot", by=["shard"])
 
 
 def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
