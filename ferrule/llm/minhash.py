@@ -4,15 +4,17 @@ Minimum and maximum of one permutation agree between two sets with the Jaccard
 similarity each, nearly independently, so half the hash evaluations give a
 signature of the same length and no more variance. Six values make a band.
 In a union of u shingles, 0.75 u of them common, both agree with probability
-q = 0.75 (0.75 u - 1) / (u - 1), which is 1/2 for u = 4 and nears 0.75**2 only for
-large u. With 72 bands a pair at the threshold of 0.75 shares none with probability
-(1 - q**3)**72, below 1e-6 from u = 56 on. Sets of up to 60 shingles therefore have
-108 bands: at worst, u = 4, (1 - 0.5**3)**108 < 1e-6. What shares a band is
-confirmed on the full sets.
-
-A signature of 432 values estimates the similarity with a standard deviation of
-0.021 at the threshold. So pairs that still matter after the first round are
-dropped unconfirmed only where a byte of each value puts them below 0.65.
+q = 0.75 (0.75 u - 1) / (u - 1), which nears 0.75**2 for large u. With 72 bands a
+pair at the threshold of 0.75 shares none with probability (1 - q**3)**72, below
+1e-6 from u = 56 on.
+
+For smaller sets minimum and maximum depend on each other too much, so they are
+dealt exactly instead: of two sets with a similarity of 0.75 or more, each holds
+at least 0.75 of its own shingles in common with the other, so among the
+n - ceil(0.75 n) + 1 first shingles of each, in one order for all, there is a
+common one. The order is by frequency, rarest first.
+
+Whatever shares a band or such a shingle is confirmed or refuted on full sets.
 """
 
 from __future__ import annotations
@@ -21,21 +23,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import BASE, chunks, materialize, mix64, running, spans, table, word_table, words
+from ferrule.llm.common import BASE, chunks, materialize, mix64, packed, running, spans, table, word_table, words
 from ferrule.llm.components import components
 
 SHINGLE = 5
 BANDS, PERMUTATIONS_A_BAND = 72, 3
-#: Sets of up to so many shingles have further bands.
-SMALL, SMALL_BANDS = 60, 36
 PERCENT = 75
-#: Least estimated similarity of a pair that is confirmed on the full sets.
-ESTIMATE = 0.65
-#: Members of a bucket that one task compares with as many others; larger buckets are dealt out by pairs of blocks.
-BLOCK = 1024
+#: Pairs with a set of up to SMALL shingles are found by their rarest ones, so sets of up to SMALL / 0.75 offer these; larger sets than SMALL have bands.
+SMALL = 60
+#: Shingles of a bucket that one task holds against as many others; larger buckets are dealt out by pairs of blocks.
+BLOCK = 400_000
 
 
 def shingle_sets(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -53,66 +53,56 @@ def shingle_sets(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return got, np.searchsorted(doc, np.arange(len(counts) + 1))
 
 
-def signatures(sets: np.ndarray, offsets: np.ndarray, first: int = 0, bands: int = BANDS):
-    """The minima and the maxima of each permutation of the bands from ``first`` on; every text has a shingle."""
+def signatures(sets: np.ndarray, offsets: np.ndarray):
+    """The minima and the maxima of each permutation; every text has a shingle."""
     starts = offsets[:-1]
-    values = np.arange(2 * first * PERMUTATIONS_A_BAND + 1, 2 * (first + bands) * PERMUTATIONS_A_BAND + 1, dtype=np.uint64)
-    factors = mix64(values * np.uint64(BASE)) | np.uint64(1)
+    factors = mix64(np.arange(1, 2 * BANDS * PERMUTATIONS_A_BAND + 1, dtype=np.uint64) * np.uint64(BASE)) | np.uint64(1)
     for i in range(0, len(factors), 2):
         value = sets * factors[i] + factors[i + 1]
         yield np.minimum.reduceat(value, starts)
         yield np.maximum.reduceat(value, starts)
 
 
-def band_keys(sets: np.ndarray, offsets: np.ndarray, first: int = 0, bands: int = BANDS) -> np.ndarray:
+def band_keys(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """A (texts, bands) array of band hashes."""
-    out = np.empty((len(offsets) - 1, bands), np.uint64)
-    for i, values in enumerate(signatures(sets, offsets, first, bands)):
+    out = np.empty((len(offsets) - 1, BANDS), np.uint64)
+    for i, values in enumerate(signatures(sets, offsets)):
         band = i // (2 * PERMUTATIONS_A_BAND)
         if i % (2 * PERMUTATIONS_A_BAND) == 0:
-            out[:, band] = first + band + 1
+            out[:, band] = band + 1
         out[:, band] = mix64(out[:, band] * np.uint64(BASE) + values)
     return out
 
 
-def all_band_keys(sets: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Band hashes of each text, end to end, and their number by text; small sets have more."""
+def subset(sets: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Some of the sets, by a mask."""
     sizes = np.diff(offsets)
-    small = sizes <= SMALL
-    counts = np.where(small, BANDS + SMALL_BANDS, BANDS)
-    keys, ends = np.empty(counts.sum(), np.uint64), np.cumsum(counts)
-    starts = ends - counts
-    keys[starts[:, None] + np.arange(BANDS)] = band_keys(sets, offsets)
-    if small.any():
-        own = np.concatenate([[0], np.cumsum(sizes[small])])
-        keys[starts[small, None] + np.arange(BANDS, BANDS + SMALL_BANDS)] = band_keys(sets[np.repeat(small, sizes)], own, BANDS, SMALL_BANDS)
-    return keys, counts
+    return sets[np.repeat(which, sizes)], np.concatenate([[0], np.cumsum(sizes[which])])
 
 
-def sketches(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A (texts, values) array with a byte of each value of the signature."""
-    values = signatures(sets, offsets)
-    return np.stack([(mix64(v) & np.uint64(255)).astype(np.uint8) for v in values], 1)
+def lists_of(which: np.ndarray, counts: np.ndarray, flat: np.ndarray) -> pa.Array:
+    """A list for each text, empty where it is not among ``which``."""
+    ends = np.zeros(len(which) + 1, np.int32)
+    ends[1:][which] = counts
+    return pa.ListArray.from_arrays(pa.array(np.cumsum(ends, dtype=np.int32)), pa.array(flat.view(np.int64)))
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, h1, h2, n, k1, k2, bands, small): the size of each text's set, two hashes of it, its bands if it is large, its shingles if it is small."""
     for batch in batches:
         for lo, hi, raw, at in chunks(batch.column("text")):
             sets, offsets = shingle_sets(raw, at)
             sizes = np.diff(offsets)
-            full = np.flatnonzero(sizes)
             keys = np.zeros((2, hi - lo), np.uint64)
-            lists = np.zeros(hi - lo + 1, np.int64)
-            flat = np.empty(0, np.uint64)
+            full = np.flatnonzero(sizes)
             if len(full):
-                starts = offsets[:-1][full]
                 for k in range(2):
-                    keys[k, full] = np.add.reduceat(mix64(sets ^ np.uint64(BASE >> k)), starts)
-                flat, lists[full + 1] = all_band_keys(sets, np.append(starts, len(sets)))
-                lists = np.cumsum(lists)
-            bands = pa.ListArray.from_arrays(pa.array(lists.astype(np.int32)), pa.array(flat.view(np.int64)))
-            ids = batch.column("doc_id").slice(lo, hi - lo)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes.astype(np.int64)), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), bands], ["doc_id", "n", "k1", "k2", "bands"])
+                    keys[k, full] = np.add.reduceat(mix64(sets ^ np.uint64(BASE >> k)), offsets[:-1][full])
+            large, small = sizes > SMALL, (sizes > 0) & (sizes * PERCENT <= SMALL * 100)
+            bands = band_keys(*subset(sets, offsets, large)).ravel() if large.any() else np.empty(0, np.uint64)
+            columns = [pa.array(sizes.astype(np.int64)), *(pa.array(k.view(np.int64)) for k in keys), lists_of(large, np.full(large.sum(), BANDS), bands), lists_of(small, sizes[small], subset(sets, offsets, small)[0])]
+            own = [batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "h1", "h2")]
+            yield pa.RecordBatch.from_arrays([*own, *columns], ["doc_id", "h1", "h2", "n", "k1", "k2", "bands", "small"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,126 +110,165 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi, raw, at in chunks(batch.column("text")):
             sets, offsets = shingle_sets(raw, at)
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(sets.view(np.int64)))
-            full = np.flatnonzero(np.diff(offsets))
-            bytes_of = [b""] * (hi - lo)
-            if len(full):
-                for i, row in zip(full.tolist(), sketches(sets, np.append(offsets[:-1][full], len(sets))), strict=True):
-                    bytes_of[i] = row.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), lists, pa.array(bytes_of, pa.binary())], ["id", "shingles", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("node").slice(lo, hi - lo), lists], ["node", "shingles"])
 
 
 def compare(group: pa.Table) -> pa.Table:
-    """Links between different components of a bucket, or of two blocks of it: as many as it takes to join what belongs together.
+    """Links that join the components of a bucket, or of two blocks of it: outsiders against all members.
 
-    Pairs that may reach the threshold go from the likeliest down; a pair that is
-    connected by then is skipped, any other is held against the full sets.
+    Each outsider is held against the full sets of all members of other
+    components whose size allows the threshold; one that is connected by then is
+    skipped.
     """
     group = group.combine_chunks()
-    ids, n, c, block, lo, hi = (group.column(x).to_numpy() for x in ("id", "n", "c", "block", "lo", "hi"))
-    rows = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
+    nodes, c, outside = (group.column(x).to_numpy(zero_copy_only=False) for x in ("node", "c", "outside"))
     lists = group.column("shingles").combine_chunks()
-    flat, at = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+    n = lists.value_lengths().to_numpy().astype(np.int64)
+    at = np.concatenate([[0], np.cumsum(n)])
+    flat = lists.flatten().to_numpy().view(np.uint64)  # sorted as such
     comp = np.unique(c, return_inverse=True)[1]
-    largest = np.bincount(comp).argmax()
-    first, second, alike = [], [], []
-    for i in np.flatnonzero(comp != largest).tolist():
-        other = (comp != comp[i]) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * PERCENT)
-        other &= (comp == largest) | (ids > ids[i])
-        if lo[0] != hi[0]:
-            other &= block != block[i]
-        with_i = np.flatnonzero(other)
-        if len(with_i):
-            estimate = (rows[with_i] == rows[i]).mean(1)
-            with_i = with_i[estimate >= ESTIMATE]
-            first.append(np.full(len(with_i), i))
-            second.append(with_i)
-            alike.append(estimate[estimate >= ESTIMATE])
-    links = []
-    if first:
-        first, second, alike = map(np.concatenate, (first, second, alike))
-        by = np.argsort(-alike, kind="stable")
-        for some in np.array_split(by, max(1, len(by) // 4096)):
-            some = some[comp[first[some]] != comp[second[some]]]
-            for i, j in zip(first[some].tolist(), second[some].tolist(), strict=True):
-                if comp[i] != comp[j]:
-                    both = len(np.intersect1d(flat[at[i] : at[i + 1]], flat[at[j] : at[j + 1]], assume_unique=True))
-                    if both * 100 >= (n[i] + n[j] - both) * PERCENT:
-                        links.append((ids[i], ids[j]))
-                        comp[comp == comp[j]] = comp[i]
+    members, links = ~outside, []
+    for i in np.flatnonzero(outside).tolist():
+        with_i = np.flatnonzero(members & (comp != comp[i]) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * PERCENT))
+        if not len(with_i):
+            continue
+        own = flat[at[i] : at[i + 1]]
+        sizes = n[with_i]
+        starts = np.cumsum(sizes) - sizes
+        theirs = flat[np.repeat(at[with_i] - starts, sizes) + np.arange(sizes.sum())]
+        place = np.minimum(np.searchsorted(own, theirs), len(own) - 1)
+        both = np.add.reduceat((own[place] == theirs).astype(np.int64), starts)
+        for j in with_i[both * 100 >= (n[i] + sizes - both) * PERCENT].tolist():
+            if comp[i] != comp[j]:
+                links.append((nodes[i], nodes[j]))
+                comp[comp == comp[j]] = comp[i]
     a, b = np.array(links, np.int64).reshape(-1, 2).T
     return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= 75 * union."""
-    of = lambda side: sets.select(F.col("id").alias(side), F.col("shingles").alias(f"of_{side}"))
+    of = lambda side: sets.select(F.col("node").alias(side), F.col("shingles").alias(f"of_{side}"))
     both = F.size(F.array_intersect("of_a", "of_b"))
     joined = pairs.join(of("b"), "b").join(of("a"), "a")
     return joined.filter(both * 100 >= (F.size("of_a") + F.size("of_b") - both) * PERCENT).select("a", "b")
 
 
+def _rare(single: DataFrame) -> DataFrame:
+    """(bucket, node, n) of the first shingles of small sets, rarest first; only shingles that several sets hold."""
+    held = materialize(single.filter(F.size("small") > 0).select("node", "n", F.explode("small").alias("s")), "mh-small")
+    often = materialize(held.groupBy("s").agg(F.count(F.lit(1)).alias("often")).filter("often > 1"), "mh-often")
+    # A shingle of one set counts for its place in the order only: it comes first.
+    shared = held.join(often, "s").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("often", "s"))).alias("found"))
+    first = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 - (F.col("n") - F.size("found"))
+    return shared.filter(first > 0).select(F.explode(F.slice("found", 1, first.cast("int"))).alias("f"), "node", "n").select(F.xxhash64(F.col("f.s"), F.lit("rare")).alias("bucket"), "node", "n")
+
+
+def _deal(labelled: DataFrame, block: int) -> DataFrame:
+    """(bucket, x, y, node, c, outside): members of buckets that hold several components, dealt to the tasks that compare them.
+
+    Those of a bucket's largest component need no comparison among themselves:
+    outsiders come in blocks x and face all members in blocks y. Each row is
+    dealt once for each block on the other side, so a bucket with few outsiders
+    takes hardly more than a row for each member.
+    """
+    sizes = labelled.groupBy("bucket", "c").agg(F.sum("n").alias("n"))
+    sizes = sizes.groupBy("bucket").agg(F.max(F.struct("n", "c")).alias("top"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    blocks = lambda x: F.ceil(x / F.lit(block)).cast("int")
+    mixed = sizes.select("bucket", F.col("top.c").alias("largest"), blocks(F.col("all") - F.col("top.n")).alias("xs"), blocks(F.col("all")).alias("ys"))
+    rows = labelled.join(mixed, "bucket").withColumn("own", F.xxhash64("node"))
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    spot = lambda of: F.pmod("own", F.col(of)).cast("int")
+    facing = rows.select("bucket", every("xs").alias("x"), spot("ys").alias("y"), "node", "c", F.lit(False).alias("outside"))
+    outside = rows.filter("c <> largest").select("bucket", spot("xs").alias("x"), every("ys").alias("y"), "node", "c", F.lit(True).alias("outside"))
+    return facing.union(outside)
+
+
+def hashed(docs: DataFrame) -> DataFrame:
+    """``docs`` with h1 and h2, which only rows of equal id and text share."""
+    return docs.withColumns({"h1": F.xxhash64("doc_id", "text"), "h2": F.xxhash64(F.lit(2), "text", "doc_id")})
+
+
+def pick(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """One row of ``docs`` (h1, h2, ...) for each of ``wanted`` (h1, h2, many, ...): repeats, where there are some, are narrowed down in every task first."""
+    found = docs.join(wanted, ["h1", "h2"])
+    one = found.filter(F.col("many").isNull()).drop("many")
+    rest = found.filter("many").drop("many")
+    return one.union(rest.groupBy("h1", "h2").agg(F.first(F.struct(*rest.columns)).alias("r")).select("r.*"))
+
+
+def _classes(docs: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """A written table (doc_id, h1, h2, n, component, class) of each row of ``docs`` (doc_id, text, h1, h2), and (h1, h2, many) of repeated ones.
+
+    The class names a component even where no document in it has an id.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    signed = docs.mapInArrow(_signatures, f"doc_id {kind}, h1 long, h2 long, n long, k1 long, k2 long, bands array<long>, small array<long>")
+    signed = materialize(signed.withColumn("row", F.monotonically_increasing_id()), "mh-signed")
+    repeated = materialize(signed.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h1", "h2", F.lit(True).alias("many")), "mh-repeated")
+    # Rows with equal sets are one node, named by one of them.
+    nodes = materialize(signed.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("row").alias("node"), F.min("doc_id").alias("least")), "mh-nodes")
+    single = signed.withColumnRenamed("row", "node").join(nodes.select("node"), "node", "left_semi")
+    rows = single.select(F.explode("bands").alias("bucket"), "node", "n").union(_rare(single)).repartition("bucket")
+    shared = rows.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("_last")).filter("leader < _last").drop("_last")
+    live = materialize(rows.join(shared, "bucket"), "mh-live")
+    wanted = single.select("h1", "h2", "node").join(live.select("node").distinct(), "node", "left_semi").join(repeated, ["h1", "h2"], "left")
+    texts = pick(docs.select("h1", "h2", "text"), wanted)
+    sets = materialize(texts.select("node", "text").mapInArrow(_sets, "node long, shingles array<long>"), "mh-sets")
+
+    votes = live.filter("node <> leader").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("votes"))
+    first = votes.groupBy("node").agg(F.max_by("leader", F.struct("votes", -F.col("leader"))).alias("a")).select("a", F.col("node").alias("b"))
+    labels = components(materialize(_confirm(first, sets), "mh-edges"))
+    labelled = live.select("bucket", "node", "n").join(labels.withColumnRenamed("id", "node"), "node", "left").withColumn("c", F.coalesce("label", "node")).drop("label")
+    facing = _deal(materialize(labelled, "mh-labelled"), block).join(sets, "node").groupBy("bucket", "x", "y")
+    more = facing.applyInArrow(compare, "a long, b long").union(labels.select(F.col("label").alias("a"), F.col("id").alias("b")))
+    labels = components(materialize(more, "mh-edges"))
+    # The smallest document of each component, then every row with that of its own.
+    linked = nodes.join(labels.withColumnRenamed("id", "node"), "node")
+    named = linked.join(linked.groupBy("label").agg(F.min("least").alias("component")), "label").select("node", "label", "component")
+    named = nodes.join(named, "node", "left").select("k1", "k2", "n", F.coalesce("label", "node").alias("class"), F.coalesce("component", "least").alias("component"))
+    out = signed.drop("bands", "small").join(materialize(named, "mh-named"), ["k1", "k2", "n"], "left")
+    own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
+    return materialize(out.select("doc_id", "h1", "h2", "n", own.alias("component"), F.coalesce("class", "row").alias("class")), "mh-classes"), repeated
+
+
 def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text).
 
-    Texts with equal sets are one node of the graph, under their smallest id, so
-    copies cost nothing further. Nodes that share a band are linked in two steps.
-    First every node is held against the leader (smallest id) that it meets most
-    often. Then buckets that still hold several components are looked through:
-    members outside a bucket's largest component are compared with all others by
-    signature, and what may reach the threshold is confirmed until the rest is
-    connected. Large buckets are dealt out in pairs of blocks. So a bucket of near
+    Rows with equal sets are one node of the graph, so copies cost nothing
+    further. Nodes that share a band (or, if small, one of their rarest shingles)
+    are linked in two steps. First every node is held against the leader (smallest
+    node) that it meets most often. Then buckets that still hold several
+    components are looked through: members outside a bucket's largest component
+    are held against all its members, on full sets, until they are connected or
+    refuted. Large buckets are dealt out in pairs of blocks. So a bucket of near
     copies takes a row for each member and gives fewer links, never all pairs,
     and yet every pair of a bucket is either linked, connected otherwise or
     refuted.
 
-    Null and empty texts have no shingles, are linked with nothing and kept. A
-    null id never names a component: such a row takes its group's smallest id
-    and is kept only if its group has none. Rows that share an id are one node.
-    Other columns play no part; an empty table gives no rows.
+    Every row is a document. Null and empty texts have no shingles, are linked
+    with nothing and kept. A null id never names a component: such a row links
+    like any other, takes its component's smallest id and is kept only if the
+    component has none. Other columns play no part; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    signed = materialize(docs.mapInArrow(_signatures, f"doc_id {kind}, n long, k1 long, k2 long, bands array<long>"), "mh-signed")
-    reps = materialize(signed.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep")), "mh-reps")
-    nodes = signed.drop("bands").join(reps, ["k1", "k2", "n"], "left")
-    members = materialize(nodes.select("doc_id", "n", "rep"), "mh-members")
-    single = signed.join(reps.select("k1", "k2", F.col("rep").alias("doc_id")), ["k1", "k2", "doc_id"], "left_semi")
-    rows = single.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("id"), "n").repartition("bucket")
-    shared = rows.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("_last")).filter("leader < _last").drop("_last")
-    live = materialize(rows.join(shared, "bucket"), "mh-live")
-    wanted = live.select("id").distinct()
-    sets = materialize(docs.withColumnRenamed("doc_id", "id").join(wanted, "id", "left_semi").mapInArrow(_sets, f"id {kind}, shingles array<long>, sketch binary"), "mh-sets")
-
-    votes = live.filter("id <> leader").groupBy("id", "leader").agg(F.count(F.lit(1)).alias("votes"))
-    first = votes.groupBy("id").agg(F.max_by("leader", F.struct("votes", -F.col("leader"))).alias("a")).select("a", F.col("id").alias("b"))
-    edges = materialize(_confirm(first, sets), "mh-edges")
-    labels = components(edges)
-    labelled = live.select("bucket", "id", "n").join(labels, "id", "left").withColumn("c", F.coalesce("label", "id")).drop("label")
-    mixed = labelled.groupBy("bucket").agg(F.min("c").alias("_low"), F.max("c").alias("_high"), F.count(F.lit(1)).alias("members")).filter("_low < _high").select("bucket", "members")
-    blocks = F.ceil(F.col("members") / F.lit(block)).cast("int")
-    open_rows = labelled.join(mixed, "bucket").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    open_rows = open_rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    open_rows = open_rows.select("bucket", "id", "n", "c", "block", F.least("block", "_other").alias("lo"), F.greatest("block", "_other").alias("hi"))
-    facing = open_rows.join(sets, "id").groupBy("bucket", "lo", "hi")
-    more = facing.applyInArrow(compare, "a long, b long").union(labels.select(F.col("label").alias("a"), F.col("id").alias("b")))
-    labels = components(materialize(more, "mh-edges"))
-    out = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-    component = F.coalesce("label", "rep", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    found, _ = _classes(hashed(docs.select("doc_id", "text")), block)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("component")).alias("kept"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group of near-duplicates, that of the smallest id.
+    """``docs`` with one document of each group of near-duplicates, that of the smallest id, with its own columns, whatever their names.
 
-    Of rows that repeat this id one stays; rows with a null id stay where no
-    document with an id has a near-identical text.
+    Rows with a null id come last; of rows that repeat an id and a text one
+    stays. Documents without words are no copies of anything and all stay. An
+    empty table gives no rows.
     """
-    found = near_duplicates(docs)
-    kept = materialize(found.filter("kept").select(F.col("doc_id").alias("_kept")).distinct(), "mh-kept")
-    stay = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return stay.withColumn("_one", F.row_number().over(one)).filter(F.col("doc_id").isNull() | (F.col("_one") == 1)).drop("_one")
+    wordless = F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    rows = docs.select(packed(docs), "doc_id", "text")
+    own = hashed(rows.filter(~wordless))
+    found, repeated = _classes(own.select("doc_id", "text", "h1", "h2"), BLOCK)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h1", "h2")).alias("x")
+    kept = materialize(found.groupBy("class").agg(first).select("x.h1", "x.h2").join(repeated, ["h1", "h2"], "left"), "mh-kept")
+    return pick(own.select("h1", "h2", "row"), kept).select("row").union(rows.filter(wordless).select("row")).select("row.*")
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
