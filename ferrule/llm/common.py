@@ -10,6 +10,7 @@ import time
 import types
 import uuid
 import zlib
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__package__])
 
 #: Bytes of text that a Python worker handles at a time.
 CHUNK_BYTES = 2_000_000
+#: Rows in an Arrow batch while an operator's own jobs run; documents are some kilobytes each.
+BATCH_ROWS = 1000
 
 _OWN_DIR: list[str] = []
 _COLLECTED = [0.0]
@@ -52,7 +55,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     atexit.register(discard, spark, path)
     if time.monotonic() - _COLLECTED[0] > 5:
         spark.sparkContext._jvm.System.gc()
@@ -60,6 +64,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Keep Arrow batches small while a job runs: texts are long and workers have a few hundred MB. The session's setting comes back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a table of ``materialize``; quiet if the session has ended."""
     try:

@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ferrule.llm.common import chunks, materialize, running, spans, table, word_table, words
+from ferrule.llm.common import chunks, materialize, packed, running, spans, table, word_table, words
 
 #: Most windows in one broadcast (about 100 bytes each); further ones go in further passes.
 BLOCK_WINDOWS = 200_000
+NEW = ["bench_words", "bench_hits", "bench_items"]
 KEEP = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -23,14 +24,13 @@ def normalised(text: str | None) -> list[bytes]:
 
 
 def windows_of(benchmark: DataFrame, n: int) -> DataFrame:
-    """Distinct (window, item_id) of the benchmark: n words, or the whole of a shorter item."""
-
-    @F.udf(T.ArrayType(T.BinaryType()))
-    def cut(text):
-        got = normalised(text)
-        return [b" ".join(got[i : i + n]) for i in range(max(1, len(got) - n + 1))] if got else []
-
-    return benchmark.select(F.explode(cut("text")).alias("window"), F.col("item_id").cast("string").alias("item")).distinct()
+    """Distinct (window, item) of the benchmark: n words, or the whole of a shorter item."""
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words_of = F.regexp_extract_all(lower, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
+    cut = benchmark.select(F.col("item_id").cast("string").alias("item"), words_of.alias("w")).filter(F.size("w") > 0)
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - (n - 1)))
+    windows = F.transform(starts, lambda i: F.array_join(F.slice("w", i, n), " ").cast("binary"))
+    return cut.select(F.explode(windows).alias("window"), "item").distinct()
 
 
 def indexed(rows: list[tuple[bytes, str | None]]) -> tuple[dict[bytes, set], dict[int, np.ndarray]]:
@@ -83,8 +83,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_wind
     (ids of the items that occur, as sorted strings).
 
     The windows are counted first. Up to ``block_windows`` they are one
-    broadcast; beyond it, they are dealt by hash into blocks of about that size
-    and each block is a pass over the documents, so no broadcast grows.
+    broadcast; beyond it, they are dealt by hash into blocks of about that size,
+    so no broadcast grows. Each block is a pass that reads the texts; all but the
+    last give hits only, which are put together by hashes of the text and join the last
+    pass.
 
     Null and empty texts have no words and no hits, items without words give no
     window, items without id mark words but are not listed, and an empty
@@ -92,27 +94,46 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_wind
     pass through, and columns named like the new ones are replaced.
     """
     spark = docs.sparkSession
-    docs = docs.drop("bench_words", "bench_hits", "bench_items")
+    docs = docs.drop(*NEW)
     found = materialize(windows_of(benchmark, n), "bench-windows")
-    count = found.count()
-    passes = max(1, -(-count // block_windows))
+    passes = max(1, -(-found.count() // block_windows))
     ranges = T.ArrayType(T.ArrayType(T.IntegerType()))
-    out = docs.withColumns({"bench_words": F.lit(0).cast("long"), "bench_hits": F.array().cast(ranges), "bench_items": F.array().cast("array<string>")})
-    for k in range(passes):
-        part = found if passes == 1 else found.filter(F.pmod(F.xxhash64("window", "item"), F.lit(passes)) == k)
-        block = spark.sparkContext.broadcast(indexed([(r.window, r.item) for r in part.collect()]))
-        out = out.mapInArrow(marker(block), out.schema)
-        if k + 1 < passes:
-            out = materialize(out, "bench-pass")
-    return out
-
+    new = {"bench_words": F.lit(0).cast("long"), "bench_hits": F.array().cast(ranges), "bench_items": F.array().cast("array<string>")}
 
-def marker(block):
-    """The pass over documents for one broadcast block of windows."""
+    def block(k: int):
+        part = found if passes == 1 else found.filter(F.pmod(F.xxhash64("window", "item"), F.lit(passes)) == k)
+        return spark.sparkContext.broadcast(indexed([(r.window, r.item) for r in part.collect()]))
+
+    last = docs.mapInArrow(marker(block(passes - 1), docs.columns), docs.limit(0).withColumns(new).schema)
+    if passes == 1:
+        return last
+    keyed = lambda rows: rows.select(F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(2), "text").alias("h2"), *rows.columns)
+    texts, hits = keyed(docs.select("text")), None
+    for k in range(passes - 1):
+        shared = block(k)
+        own = texts.mapInArrow(marker(shared, ["h1", "h2"]), texts.select("h1", "h2").limit(0).withColumns(new).schema).filter(F.size("bench_hits") > 0)
+        own = materialize(own.select("h1", "h2", "bench_hits", "bench_items").distinct(), "bench-pass")
+        hits = own if hits is None else hits.union(own)
+        shared.unpersist()
+    # A row for each text and pass.
+    hits = hits.groupBy("h1", "h2").agg(F.flatten(F.collect_list("bench_hits")).alias("_bench_h"), F.flatten(F.collect_list("bench_items")).alias("_bench_i"))
+    packed_last = last.select(F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(2), "text").alias("h2"), packed(docs), *NEW)
+    both = packed_last.join(materialize(hits, "bench-hits"), ["h1", "h2"], "left")
+    nothing = lambda c, kind: F.coalesce(c, F.array().cast(kind))
+    every = F.array_sort(F.concat("bench_hits", nothing("_bench_h", ranges)))
+    start = F.array().cast(ranges)
+    touching = lambda done, r: (F.size(done) > 0) & (F.element_at(done, -1)[1] >= r[0])
+    joined = lambda done, r: F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.array(F.element_at(done, -1)[0], F.greatest(F.element_at(done, -1)[1], r[1]))))
+    one = F.aggregate(every, start, lambda done, r: F.when(touching(done, r), joined(done, r)).otherwise(F.concat(done, F.array(r))))
+    items = F.array_sort(F.array_distinct(F.concat("bench_items", nothing("_bench_i", "array<string>"))))
+    return both.select("row.*", "bench_words", one.alias("bench_hits"), items.alias("bench_items"))
+
+
+def marker(block, keep: list[str]):
+    """The pass over documents for one broadcast block of windows: the columns ``keep`` and the new ones."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.schema.names
             counts, hits_of, items_of = [], [], []
             for lo, hi, raw, at in chunks(batch.column("text")):
                 offsets, hits = scan(raw, at, block.value)
@@ -122,14 +143,10 @@ def marker(block):
                 for d, first, end, which in hits:
                     ranges[d].append([first, end])
                     items[d] |= which
-                hits_of += ranges
-                items_of += items
-            before = zip(batch.column("bench_hits").to_pylist(), batch.column("bench_items").to_pylist(), strict=True)
-            for i, (ranges, items) in enumerate(before):
-                hits_of[i] = merged(ranges + hits_of[i])
-                items_of[i] = sorted(items_of[i].union(items))
-            new = {"bench_words": pa.array(counts, pa.int64()), "bench_hits": pa.array(hits_of, pa.list_(pa.list_(pa.int32()))), "bench_items": pa.array(items_of, pa.list_(pa.string()))}
-            yield pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(c) for c in names], names=names)
+                hits_of += map(merged, ranges)
+                items_of += map(sorted, items)
+            new = [pa.array(counts, pa.int64()), pa.array(hits_of, pa.list_(pa.list_(pa.int32()))), pa.array(items_of, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, keep), *new], names=[*keep, *NEW])
 
     return mark
 
@@ -146,13 +163,13 @@ def merged(ranges: list[list[int]]) -> list[list[int]]:
 
 
 def remove_documents(marked: DataFrame) -> DataFrame:
-    """The documents without a hit, with their own columns."""
-    return marked.filter(F.size("bench_hits") == 0).drop("bench_words", "bench_hits", "bench_items")
+    """The documents without a hit, with their own columns; null and empty texts have none and stay."""
+    return marked.filter(F.size("bench_hits") == 0).drop(*NEW)
 
 
 def remove_spans(marked: DataFrame) -> DataFrame:
-    """All documents, the hit words cut out of their texts with what stands between them; texts without a hit stay as they are."""
-    schema = T.StructType([f for f in marked.schema if not f.name.startswith("bench_")])
+    """All documents with their own columns, the hit words cut out of their texts with what stands between them; texts without a hit, null ones too, stay as they are."""
+    schema = T.StructType([f for f in marked.schema if f.name not in NEW])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fold = word_table("alnum")

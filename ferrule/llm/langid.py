@@ -1,17 +1,19 @@
 """Language identification by prediction by partial matching.
 
-Each language has a byte-context tree of order 2: counts of a byte after its two,
-one and no bytes before it. A byte that a context has not seen costs an escape
+Each language has a byte-context tree of order 4: counts of a byte after its four,
+three, ... and no bytes before it. A byte that a context has not seen costs an escape
 (method C: as likely as the number of different bytes seen there), then counts
-in the shorter context with the bytes of the longer one excluded; last come the
-256 byte values less those seen anywhere. Trees are frozen after training, so
-the cost of a byte depends on three bytes only and a table holds it exactly.
+in the next shorter context with the bytes of the longer one excluded; last come the
+256 byte values less those seen anywhere. A tree is as deep as its text: contexts
+that training has not met cost nothing. Trees are frozen after training, so the
+cost of a byte depends on five bytes only and is worked out once for each
+different five in a batch, from sorted tables of the contexts and grams that occur.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +23,15 @@ from pyspark.sql import functions as F
 
 from ferrule.llm.common import chunks, crc_of_id, discard, materialize, table
 
-#: Most (language, three bytes) counts in one block of languages, and most languages; further ones go in further passes. A language with more counts is a block of its own.
+#: Bytes of context; a gram is these and the byte itself, as a number.
+ORDER = 4
+#: Most (language, gram) counts in one block of languages, and most languages; further ones go in further passes. A language with more counts is a block of its own.
 MODEL_ROWS = 3_000_000
 BLOCK_LANGUAGES = 100
 #: Distinct counts that a worker gathers before it hands them on.
 GATHER = 2_000_000
-LETTER = re.compile(r"[^\W\d_]")
+#: A language's number stands above the gram in 64 bits.
+SHIFT = 8 * (ORDER + 1)
 
 
 def folded() -> np.ndarray:
@@ -35,16 +40,21 @@ def folded() -> np.ndarray:
     return fold
 
 
-def contexts(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """For each byte, it and the two before it as one number; 0 stands before a text's start."""
+def mask(n: int) -> int:
+    """Selects the last ``n`` bytes of a gram."""
+    return (1 << 8 * n) - 1
+
+
+def contexts(raw: np.ndarray, at: np.ndarray, order: int = ORDER) -> np.ndarray:
+    """The gram of each byte; 0 stands before a text's start."""
     x = folded()[raw].astype(np.int64)
-    before = np.zeros((2, len(x)), np.int64)
-    before[0, 1:], before[1, 2:] = x[:-1], x[:-2]
-    starts = at[:-1][np.diff(at) > 0]
-    before[:, starts] = 0
-    longer = at[:-1][np.diff(at) > 1] + 1
-    before[1, longer] = 0
-    return before[1] << 16 | before[0] << 8 | x
+    age, out = np.arange(len(x)) - np.repeat(at[:-1], np.diff(at)), x.copy()
+    for k in range(1, order + 1):
+        before = np.zeros(len(x), np.int64)
+        before[k:] = x[:-k] if len(x) > k else 0
+        before[age < k] = 0
+        out |= before << 8 * k
+    return out
 
 
 def counts(docs: DataFrame) -> DataFrame:
@@ -61,12 +71,12 @@ def counts(docs: DataFrame) -> DataFrame:
 
         def rows(key, total):
             names = np.array(list(langs), object)
-            return pa.RecordBatch.from_arrays([pa.array(names[key >> 24], pa.string()), pa.array(key & 0xFFFFFF), pa.array(total)], ["lang", "gram", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(names[key >> SHIFT], pa.string()), pa.array(key & mask(ORDER + 1)), pa.array(total)], ["lang", "gram", "n"])
 
         for batch in batches:
             own = np.array([langs.setdefault(x, len(langs)) for x in batch.column("lang").to_pylist()], np.int64)
             for lo, hi, raw, at in chunks(batch.column("text")):
-                key, n = np.unique(np.repeat(own[lo:hi], np.diff(at)) << 24 | contexts(raw, at), return_counts=True)
+                key, n = np.unique(np.repeat(own[lo:hi], np.diff(at)) << SHIFT | contexts(raw, at), return_counts=True)
                 keys.append(key)
                 sums.append(n)
                 held += len(key)
@@ -82,88 +92,94 @@ def counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def language(grams: np.ndarray, n: np.ndarray, code: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
-    """Log probabilities of a tree over an alphabet of ``size``, for ``costs``; ``code`` maps bytes to it, 0: never seen.
+class Level(NamedTuple):
+    """One order of a tree: its grams with the log of their counts, and its contexts with what follows from them.
 
-    They are: the sorted grams and the cost of each; for each pair of bytes before,
-    the share of the cost of a byte that is known after one byte but not after
-    both, and of any other; for each pair of a byte and the one before, whether it
-    was seen and the share of the cost that depends on it.
+    ``size`` and ``escape``: log of the denominator (counts and escapes) and of the
+    share of the escape, where this is the longest known context. ``below_size``,
+    ``below_escape``: those one order down, the bytes seen here excluded there.
     """
-    order = np.argsort(grams)
-    grams, n = grams[order], n[order].astype(np.float64)
-    before, after = pairs(grams, code, size)
-    square = lambda at, values: np.bincount(at, values, minlength=size * size).reshape(size, size)
-    total2, kinds2, n1 = square(before, n), square(before, None), square(after, n)
-    seen, n0 = n1 > 0, n1.sum(0)
-    kinds1, kinds0 = seen.sum(1), (n0 > 0).sum()
-    new1 = kinds1 - kinds2
-    free1 = n1.sum(1) - square(before, n1.ravel()[after]) + new1
-    new0 = (kinds0 - kinds1)[:, None]
-    free0 = (n0 * ~seen).sum(1, keepdims=True) + new0
-    with np.errstate(divide="ignore", invalid="ignore"):
-        escape2 = np.where(kinds2 > 0, np.log(kinds2 / (total2 + kinds2)), 0)
-        known = escape2 - np.where(free1 > 0, np.log(free1), 0)
-        other = escape2 + np.where(new1 > 0, np.log(new1 / free1), 0)
-        unseen = np.where(new0 > 0, np.log(new0 / free0), 0) - np.log(max(256 - kinds0, 1))
-        below = np.where(seen, np.log(n1), np.where(n0 > 0, np.log(n0 / free0), unseen))
-    of_grams = np.log(n / (total2 + kinds2).ravel()[before])
-    return grams.astype(np.int32), *(x.astype(np.float32).ravel() for x in (of_grams, known, other)), seen.ravel(), below.astype(np.float32).ravel()
-
-
-def pairs(grams: np.ndarray, code: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Cells of the two bytes before the last one, and of the last two."""
-    middle = code[grams >> 8 & 255].astype(np.int64)
-    return code[grams >> 16] * size + middle, middle * size + code[grams & 255]
-
-
-def costs(grams: np.ndarray, before: np.ndarray, after: np.ndarray, tables: tuple[np.ndarray, ...]) -> np.ndarray:
+
+    grams: np.ndarray
+    log_n: np.ndarray
+    contexts: np.ndarray
+    size: np.ndarray
+    escape: np.ndarray
+    below_size: np.ndarray
+    below_escape: np.ndarray
+
+
+def logs(x: np.ndarray) -> np.ndarray:
+    """log, 0 for 0 (an escape where nothing is left to see costs nothing)."""
+    return np.log(np.where(x > 0, x, 1))
+
+
+def tree(grams: np.ndarray, n: np.ndarray, order: int = ORDER) -> list[Level]:
+    """Levels of order 0 to ``order`` from the counts of the longest grams."""
+    out, (grams, by) = [], np.unique(grams, return_inverse=True)
+    n = np.bincount(by, n)
+    for k in range(order, -1, -1):
+        context, of = np.unique(grams >> 8, return_inverse=True)
+        total, kinds = np.bincount(of, n), np.bincount(of).astype(np.float64)
+        below_size = below_escape = np.zeros(len(context))
+        if k:
+            lower, to = np.unique(grams & mask(k), return_inverse=True)
+            lower_n = np.bincount(to, n)
+            lower_context, lower_of = np.unique(lower >> 8, return_inverse=True)
+            down = np.searchsorted(lower_context, context & mask(k - 1))
+            new = np.bincount(lower_of)[down] - kinds
+            below = np.bincount(lower_of, lower_n)[down] - np.bincount(of, lower_n[to]) + new
+            below_size, below_escape = logs(below), logs(new) - logs(below)
+        out.insert(0, Level(grams, np.log(n), context, np.log(total + kinds), np.log(kinds) - np.log(total + kinds), below_size, below_escape))
+        if k:
+            grams, n = lower, lower_n
+    return out
+
+
+def spot(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where each of ``wanted`` is in the sorted ``keys``, -1 if nowhere."""
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, at, -1)
+
+
+def costs(grams: np.ndarray, levels: list[Level]) -> np.ndarray:
     """log probability of the last byte of each gram in one language."""
-    own, of_grams, known, other, seen, below = tables
-    out = np.where(seen[after], known[before], other[before]) + below[after]
-    if len(own):
-        at = np.minimum(np.searchsorted(own, grams), len(own) - 1)
-        out = np.where(own[at] == grams, of_grams[at], out)
+    out, left, longer = np.zeros(len(grams)), np.arange(len(grams)), np.full(len(grams), -1)
+    for k in range(len(levels) - 1, -1, -1):
+        level, gram = levels[k], grams[left] & mask(k + 1)
+        found, context = spot(level.grams, gram), spot(level.contexts, gram >> 8)
+        above = levels[min(k + 1, len(levels) - 1)]
+        size = np.where(longer >= 0, above.below_size[longer], level.size[context])
+        escape = np.where(longer >= 0, above.below_escape[longer], np.where(context >= 0, level.escape[context], 0))
+        hit = found >= 0
+        out[left] += np.where(hit, level.log_n[found] - size, escape)
+        left, longer = left[~hit], context[~hit]
+    out[left] -= np.log(max(1, 256 - len(levels[0].grams)))
     return out
 
 
 class Model:
-    """Tables of a block of languages, in plain arrays: the alphabet and the log probabilities."""
+    """Trees of a block of languages, in plain arrays."""
 
     def __init__(self, rows: list[tuple[str, int, int]] | pa.Table):
         if not isinstance(rows, pa.Table):
             rows = pa.Table.from_pylist([{"lang": x, "gram": g, "n": n} for x, g, n in rows], pa.schema({"lang": pa.string(), "gram": pa.int64(), "n": pa.int64()}))
-        names, grams, n = rows.column("lang"), rows.column("gram").to_numpy(), rows.column("n").to_numpy()
-        self.langs = sorted(pc.unique(names).to_pylist(), key=lambda x: x.encode())
+        names, grams, n = rows.column("lang"), rows.column("gram").to_numpy(), rows.column("n").to_numpy().astype(np.float64)
+        self.langs = sorted(names.unique().to_pylist(), key=lambda x: x.encode())
         lang = pc.index_in(names, pa.array(self.langs, names.type)).to_numpy()
-        seen = np.unique(np.concatenate([grams & 255, grams >> 8 & 255, grams >> 16, [0]]))
-        self.code = np.zeros(256, np.int32)
-        self.code[seen] = np.arange(1, len(seen) + 1)
-        self.size = len(seen) + 1
         by = np.argsort(lang, kind="stable")
         ends = np.cumsum(np.bincount(lang, minlength=len(self.langs)))[:-1] if self.langs else []
-        self.tables = [language(grams[i], n[i], self.code, self.size) for i in np.split(by, ends)] if self.langs else []
-
-
-def distinct(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The different grams, and for each of ``grams`` its place among them."""
-    seen = np.zeros(1 << 24, bool)
-    seen[grams] = True
-    found = np.flatnonzero(seen)
-    place = np.empty(1 << 24, np.int32)
-    place[found] = np.arange(len(found))
-    return found, place[grams]
+        self.trees = [tuple(map(tuple, tree(grams[i], n[i]))) for i in np.split(by, ends)] if self.langs else []
 
 
-def code_lengths(raw: np.ndarray, at: np.ndarray, code: np.ndarray, size: int, tables: list[tuple[np.ndarray, ...]]) -> np.ndarray:
+def code_lengths(raw: np.ndarray, at: np.ndarray, trees: list) -> np.ndarray:
     """(texts, languages): natural log of each text's probability."""
-    out = np.zeros((len(at) - 1, len(tables)))
+    out = np.zeros((len(at) - 1, len(trees)))
     full = np.flatnonzero(np.diff(at))
     if len(full):
-        grams, place = distinct(contexts(raw, at))
-        before, after = pairs(grams, code, size)
-        for i, of_language in enumerate(tables):
-            out[full, i] = np.add.reduceat(costs(grams, before, after, of_language)[place], at[:-1][full], dtype=np.float64)
+        grams, place = np.unique(contexts(raw, at), return_inverse=True)
+        for i, levels in enumerate(trees):
+            out[full, i] = np.add.reduceat(costs(grams, [Level(*x) for x in levels])[place], at[:-1][full])
     return out
 
 
@@ -186,8 +202,8 @@ def identify(docs: DataFrame, training: DataFrame, model_rows: int = MODEL_ROWS)
     Learns from the rows of ``training`` (text, lang) with a language, all of
     them, by distributed counts. The language under which a text has the
     shortest code is predicted (of equals the first by code point); the score is
-    its posterior under equal priors. Null texts and texts without a letter, and
-    all texts if nothing was learned, are ``und`` with score 0. Null languages
+    its posterior under equal priors. Null texts and texts without a letter (of
+    Unicode's categories L*), and all texts if nothing was learned, are ``und`` with score 0. Null languages
     teach nothing; repeated rows count repeatedly; empty tables give no rows.
 
     Languages go in blocks of at most ``model_rows`` counts (or one language),
@@ -202,20 +218,20 @@ def identify(docs: DataFrame, training: DataFrame, model_rows: int = MODEL_ROWS)
     for k, block in enumerate(blocks):
         part = grams.filter(F.col("lang").between(block[0], block[-1])) if len(blocks) > 1 else grams
         model = Model(part.toArrow())
-        tables = spark.sparkContext.broadcast(model.tables)
+        trees = spark.sparkContext.broadcast(model.trees)
         first, last = k == 0, k == len(blocks) - 1
         score = F.lit(0.0) if last else F.struct(F.lit(0.0).alias("top"), F.lit(0.0).alias("sum"))
         schema = out.limit(0).withColumns({"lang_pred": F.lit("").cast("string"), "lang_score": score}).schema
-        earlier, out = out, out.mapInArrow(scorer(model.langs, model.code, model.size, tables, first, last), schema)
+        earlier, out = out, out.mapInArrow(scorer(model.langs, trees, first, last), schema)
         if not last:
             out = materialize(out, "lang-pass")
-            tables.unpersist()
+            trees.unpersist()
             if not first and (files := earlier.inputFiles()):
                 discard(spark, files[0].rpartition("/")[0])
     return out
 
 
-def scorer(langs: list[str], code: np.ndarray, size: int, tables, first: bool, last: bool):
+def scorer(langs: list[str], trees, first: bool, last: bool):
     """The pass over documents for one broadcast block of languages."""
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,14 +241,14 @@ def scorer(langs: list[str], code: np.ndarray, size: int, tables, first: bool, l
             column, logs, letter = batch.column("text"), [np.empty((0, len(langs)))], [np.empty(0, bool)]
             for lo, hi, raw, at in chunks(column):
                 if langs:
-                    logs.append(code_lengths(raw, at, code, size, tables.value))
+                    logs.append(code_lengths(raw, at, trees.value))
                 if last:
                     has = np.zeros(hi - lo, bool)
                     full = np.flatnonzero(np.diff(at))
                     if len(full):
                         has[full] = np.logical_or.reduceat(letters[raw], at[:-1][full])
                     for i in np.flatnonzero(~has & (np.diff(at) > 0)).tolist():
-                        has[i] = bool(LETTER.search(column[lo + i].as_py()))
+                        has[i] = any(map(str.isalpha, column[lo + i].as_py()))
                     letter.append(has)
             if langs:
                 log, has = np.concatenate(logs), np.concatenate(letter)

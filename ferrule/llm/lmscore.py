@@ -9,10 +9,10 @@ gram) alone, so the trie is handled as a table of grams:
 
 1. texts are dealt into parts of some MB; each part gives its distinct grams and
    words with their training counts, packed by hash bucket of the key;
-2. each bucket is summed over all parts; grams are dealt by the two bytes before
-   the last, below which all longer contexts lie in one task (at most
-   256**(ORDER - 1) rows), and each gram's cost is worked out; orders 1 and 0 are
-   a 256 x 256 table;
+2. each bucket is summed over all parts; grams are dealt by the three bytes before
+   the last, below which all longer contexts lie in one task, many such cells to a
+   task, and each gram's cost is worked out; counts of three bytes are summed first
+   and joined to the cells that need them; those of two are a 256 x 256 table;
 3. costs go back, by bucket, to the parts that asked for them, and each part
    scores its texts.
 
@@ -41,6 +41,8 @@ CHUNK = 1_000_000
 GATHER = 1_500_000
 #: Bytes of text to a hash bucket of keys.
 BUCKET_BYTES = 12_000_000
+#: Cells that grams with the same two bytes before the last are dealt to, by the byte before those.
+SPREAD = 16
 END = 255
 #: Stands for the end of a text among the words.
 END_WORD = np.uint64(BASE)
@@ -189,11 +191,13 @@ def _sums_by(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return which, np.bincount(which, n, minlength=len(distinct))
 
 
-def gram_costs(gram: np.ndarray, n: np.ndarray, short: np.ndarray, order: int) -> np.ndarray:
+def gram_costs(gram: np.ndarray, n: np.ndarray, three: np.ndarray, three_n: np.ndarray, short: np.ndarray, order: int) -> np.ndarray:
     """log10 probability of the last byte of each gram.
 
-    The grams are all those with the same two bytes before the last, with counts
-    ``n`` (0: wanted, not in training); ``short``: counts of (byte, byte).
+    The grams are all those with certain three bytes before the last, with counts
+    ``n`` (0: wanted, not in training); ``three`` with ``three_n``: sorted numbers
+    of three bytes and their counts, all that share two bytes before the last with
+    a gram; ``short``: counts of (byte, byte).
     """
     sym, lp = (gram & np.uint64(255)).astype(np.int64), np.zeros(len(gram))
     todo = np.ones(len(gram), bool)
@@ -207,29 +211,33 @@ def gram_costs(gram: np.ndarray, n: np.ndarray, short: np.ndarray, order: int) -
         lp[miss] += np.log10(kinds[miss] / (total + kinds)[miss])
         todo &= ~hit
 
+    last_three = (gram & np.uint64(0xFFFFFF)).astype(np.int64)
+    place = np.minimum(np.searchsorted(three, last_three), max(len(three) - 1, 0))
+    count_three = np.where(three[place] == last_three, three_n[place], 0.0) if len(three) else np.zeros(len(gram))
     levels = []
-    for k in range(order, 1, -1):
+    for k in range(order, 2, -1):
         key = gram & np.uint64((1 << 8 * (k + 1)) - 1)
         which, sums = _sums_by(key, n)
         levels.append((which, sums, key >> np.uint64(8)))
-    last = (gram >> np.uint64(8) & np.uint64(255)).astype(np.int64)
-    first = short.sum(0)
     for i, (which, sums, context) in enumerate(levels):
-        count = sums[which]
         one = np.zeros(len(sums), np.int64)
         one[which] = np.arange(len(gram))  # a gram for each (context, byte)
         contexts, of = np.unique(context, return_inverse=True)
         seen = sums > 0
         total = np.bincount(of[one], sums, minlength=len(contexts))
         kinds = np.bincount(of[one], seen, minlength=len(contexts))
-        step(count, total[of], kinds[of])
-        if i + 1 < len(levels):
-            shorter = levels[i + 1][1][levels[i + 1][0]][one]
-        else:
-            shorter = short[last[one], sym[one]]
+        step(sums[which], total[of], kinds[of])
+        shorter = levels[i + 1][1][levels[i + 1][0]][one] if i + 1 < len(levels) else count_three[one]
         excluded = np.bincount(of[one], np.where(seen, shorter, 0), minlength=len(contexts))[of]
         kinds_excluded = kinds[of]
-    after = short > 0
+    # Two bytes of context, from the summed table; then one and none.
+    pairs, of = np.unique(three >> 8, return_inverse=True)
+    known = np.minimum(np.searchsorted(pairs, last_three >> 8), max(len(pairs) - 1, 0))
+    value = lambda x: np.where(pairs[known] == last_three >> 8, x[known], 0.0) if len(pairs) else np.zeros(len(gram))
+    step(count_three, value(np.bincount(of, three_n)), value(np.bincount(of)))
+    excluded, kinds_excluded = value(np.bincount(of, short[three >> 8 & 255, three & 255])), value(np.bincount(of))
+    last = last_three >> 8 & 255
+    first, after = short.sum(0), short > 0
     step(short[last, sym], short.sum(1)[last], after.sum(1)[last])
     excluded, kinds_excluded = (after * first).sum(1)[last], after.sum(1)[last]
     step(first[sym], np.full(len(gram), float(first.sum())), np.full(len(gram), float((first > 0).sum())))
@@ -238,9 +246,10 @@ def gram_costs(gram: np.ndarray, n: np.ndarray, short: np.ndarray, order: int) -
 
 
 def price(short: np.ndarray, order: int):
-    def run(group: pa.Table) -> pa.Table:
-        key = group.column("key").to_numpy()
-        cost = gram_costs(key.view(np.uint64), group.column("n").to_numpy().astype(np.float64), short, order)
+    def run(group: pa.Table, counts: pa.Table) -> pa.Table:
+        key, three = group.column("key").to_numpy(), counts.column("three").to_numpy()
+        by = np.argsort(three)
+        cost = gram_costs(key.view(np.uint64), group.column("n").to_numpy().astype(np.float64), three[by], counts.column("three_n").to_numpy()[by].astype(np.float64), short, order)
         return pa.table({"kind": pa.array(np.full(len(key), GRAM, np.int8)), "bucket": group.column("bucket"), "key": pa.array(key), "value": pa.array(cost)})
 
     return run
@@ -296,11 +305,17 @@ def score_documents(docs: DataFrame, order: int = ORDER, part_bytes: int = PART_
     sums = materialize(asked.groupBy("kind", "bucket").applyInArrow(total, "kind byte, bucket int, key long, n long"), "lm-sums")
     seen = sums.filter("n > 0")
     found = seen.filter(F.col("kind") == WORD).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("distinct")).first()
+    three = seen.filter(F.col("kind") == GRAM).groupBy(F.expr("key & 16777215").alias("three")).agg(F.sum("n").alias("three_n"))
+    three = materialize(three, "lm-three")
     short = np.zeros((256, 256))
-    for r in seen.filter(F.col("kind") == GRAM).groupBy(F.expr("key & 65535").alias("two")).agg(F.sum("n").alias("n")).collect():
+    for r in three.groupBy(F.expr("three & 65535").alias("two")).agg(F.sum("three_n").alias("n")).collect():  # at most 65,536 rows
         short[r.two >> 8, r.two & 255] = r.n
-    trie = sums.filter(F.col("kind") == GRAM).groupBy(F.expr("shiftright(key, 8) & 65535").alias("below"))
-    costs = trie.applyInArrow(price(short, order), "kind byte, bucket int, key long, value double")
+    # A pair of bytes lies in SPREAD cells at most, by the byte before it; each cell gets the pair's counts.
+    pair, before = F.expr("shiftright(key, 8) & 65535"), F.expr("shiftright(key, 24) & 255")
+    cell = F.pmod(F.xxhash64(pair, before % SPREAD), F.lit(buckets))
+    trie = sums.filter(F.col("kind") == GRAM).select("bucket", "key", "n", cell.alias("cell"), pair.alias("pair"))
+    counts = trie.select("cell", "pair").distinct().join(three.withColumn("pair", F.expr("shiftright(three, 8)")), "pair").select(F.col("cell").alias("of_cell"), "three", "three_n")
+    costs = trie.drop("pair").groupBy("cell").cogroup(counts.groupBy("of_cell")).applyInArrow(price(short, order), "kind byte, bucket int, key long, value double")
     values = costs.union(sums.filter(F.col("kind") == WORD).select("kind", "bucket", "key", F.col("n").cast("double")))
     answers = asked.groupBy("kind", "bucket").cogroup(values.groupBy("kind", "bucket")).applyInArrow(answer, "part int, kind byte, size int, keys binary, values binary")
     schema = f"doc_id {kind}, train boolean, n_tokens long, n_known long, sum_log double, score double"

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import BASE, chunks, materialize, mix64, packed, table, word_table, words
+from ferrule.llm.common import BASE, chunks, materialize, mix64, packed, small_batches, table, word_table, words
 
 BUCKETS = 1 << 16
 #: Added to each bucket's count in both models.
@@ -91,8 +91,10 @@ def log_ratio(docs: DataFrame, good: list) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[0, at]), pa.array(sums[1, at])], ["i", "raw", "target"])
 
     counts = np.full((2, len(KINDS) * BUCKETS), SMOOTHING)
-    for r in docs.select("doc_id", "text").mapInArrow(count, "i long, raw long, target long").groupBy("i").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect():
-        counts[:, r.i] += (r.raw, r.target)
+    found = docs.select("doc_id", "text").mapInArrow(count, "i long, raw long, target long").groupBy("i").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    with small_batches(docs.sparkSession):
+        for r in found.collect():  # a row for each bucket
+            counts[:, r.i] += (r.raw, r.target)
     parts = counts.reshape(2, len(KINDS), BUCKETS)
     parts /= parts.sum(2, keepdims=True)
     return np.log(parts[1] / parts[0]).ravel() if good else np.zeros(len(KINDS) * BUCKETS)

@@ -42,5 +42,5 @@ def clashing(spark, odd):
     """Columns with names that operators use themselves."""
     from pyspark.sql import functions as F
 
-    names = ["id", "n", "h", "part", "bucket", "window", "words", "size", "shard", "slot", "label", "train", "bench_hits", "lang_pred", "quality_score", "repeat_spans", "lic_words", "mix_target", "spans", "k1", "draw"]
+    names = ["id", "n", "h", "part", "bucket", "window", "words", "size", "shard", "slot", "label", "train", "bench_hits", "lang_pred", "quality_score", "repeat_spans", "lic_words", "mix_target", "spans", "k1", "draw", "row", "doc", "doc_order", "_doc", "_key", "_kept", "_one", "_part", "_salt", "h1", "h2", "node", "class", "cell", "_good"]
     return odd.withColumns({n: F.lit("own") for n in names})

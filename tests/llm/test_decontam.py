@@ -27,6 +27,14 @@ def test_brute_force_in_one_pass_and_in_blocks(spark, odd):
     assert result(decontam.decontaminate(odd, bench, block_windows=9)) == want
 
 
+def test_blocks_keep_columns_of_any_name(spark, clashing):
+    bench = spark.createDataFrame([(1, "mit license"), (2, "word"), (3, "a b c")], "item_id long, text string")
+    mine = clashing.withColumns({"bench_source": clashing.source, "h1": clashing.text, "row": clashing.lang})
+    one, many = decontam.decontaminate(mine, bench), decontam.decontaminate(mine, bench, block_windows=1)
+    assert one.columns == many.columns and result(one) == result(many)
+    assert decontam.remove_spans(many).columns == [c for c in mine.columns if c != "bench_hits"] and decontam.remove_documents(many).count() == clashing.count() - 3
+
+
 def test_removal(spark, clashing, nothing):
     bench = spark.createDataFrame([(1, "mit license")], "item_id long, text string")
     marked = decontam.decontaminate(clashing, bench)

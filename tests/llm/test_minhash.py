@@ -14,61 +14,89 @@ def shingles(text):
 
 
 def brute(rows):
-    """Component of each id: ids are nodes."""
-    sets = {}
-    for i, t in rows:
-        sets.setdefault(i, []).append(shingles(t))
-    parent = {i: i for i in sets}
+    """(id, set size, component) of each row, as texts: rows are nodes, the smallest id names a component."""
+    sets, parent = [shingles(t) for _, t in rows], list(range(len(rows)))
 
     def find(i):
         while parent[i] != i:
             i = parent[i]
         return i
 
-    ids = [i for i in sets if i is not None]
-    for x in ids:
-        for y in ids:
-            if x < y and any(a and b and 100 * len(a & b) >= 75 * len(a | b) for a in sets[x] for b in sets[y]):
-                a, b = sorted((find(x), find(y)))
-                parent[b] = a
-    return {i: find(i) for i in sets}
+    for x, a in enumerate(sets):
+        for y, b in enumerate(sets[:x]):
+            if a and b and 100 * len(a & b) >= 75 * len(a | b):
+                parent[find(x)] = find(y)
+    ids = {}
+    for x, (i, _) in enumerate(rows):
+        ids.setdefault(find(x), []).append(i)
+    least = {root: min((i for i in some if i is not None), default=None) for root, some in ids.items()}
+    return sorted((str(i), len(sets[x]), str(least[find(x)])) for x, (i, _) in enumerate(rows)), len([s for root, s in ids.items() if sets[root]])
+
+
+def result(df):
+    rows = df.collect()
+    assert all(r.kept == (r.doc_id == r.component_id) for r in rows)
+    return sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in rows)
 
 
 def test_odd_rows(odd, clashing, nothing):
-    got = minhash.near_duplicates(clashing).collect()
-    want = brute([(r.doc_id, r.text) for r in odd.collect()])
-    assert sorted(r.component_id for r in got if r.doc_id is not None) == sorted(want[r.doc_id] for r in got if r.doc_id is not None)
-    assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == {i: c for i, c in want.items() if i is not None}
-    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
-    assert sorted(r.n_shingles for r in got) == sorted(len(shingles(r.text)) for r in odd.collect())
+    rows = [(r.doc_id, r.text) for r in odd.collect()]
+    want, groups = brute(rows)
+    assert result(minhash.near_duplicates(clashing)) == want
     assert minhash.near_duplicates(nothing).count() == 0
     stay = minhash.deduplicate(clashing)
     assert stay.columns == clashing.columns
-    ids = [r.doc_id for r in stay.collect()]
-    assert sorted(i for i in ids if i is not None) == sorted({c for i, c in want.items() if i is not None}) and ids.count(None) == 2
+    kept = stay.collect()
+    assert sum(bool(shingles(r.text)) for r in kept) == groups
+    assert sum(not shingles(r.text) for r in kept) == sum(not shingles(t) for _, t in rows)
+    named = {c for i, n, c in want if n}
+    assert {str(r.doc_id) for r in kept if shingles(r.text)} == named
+    assert minhash.deduplicate(nothing).count() == 0
+
+
+def test_rows_without_id_link(spark):
+    """A null id links two documents, names nothing, and repeats of it are copies like any other."""
+    text = [f"w{i}" for i in range(57)]
+    bridge, far = ["x0", *text[1:]], ["x0", *text[1:-3], "y1", "y2", "y3", "y4"]
+    rows = [(2, " ".join(text)), (None, " ".join(bridge)), (9, " ".join(far)), (None, "q r s t u v w x"), (None, "q r s t u v w x"), (None, "q r s t u v w x y"), (5, "all by itself in this small place"), (5, "same id but something else altogether here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want, groups = brute(rows)
+    assert result(minhash.near_duplicates(df)) == want
+    assert minhash.deduplicate(df).count() == groups == 4
 
 
 def test_families_in_blocks(spark):
-    """Chains of edits with similarities around the threshold, and buckets larger than a block."""
+    """Chains of edits with similarities around the threshold, of small and large sets, and buckets larger than a block."""
     rng = random.Random(3)
     rows, i = [], 0
-    for _ in range(3):
-        text = [f"w{rng.randrange(10**6)}" for _ in range(150)]
-        for _ in range(25):
-            rows.append((i, " ".join(text)))
+    for size in (150, 150, 70, 64, 30, 12):
+        text = [f"w{rng.randrange(10**6)}" for _ in range(size)]
+        for _ in range(15):
+            rows.append((i, "common boiler plate line here " + " ".join(text)))
             i += 1
             if rng.random() < 0.8:
-                text[rng.randrange(150)] = f"w{rng.randrange(10**6)}"
+                text[rng.randrange(size)] = f"w{rng.randrange(10**6)}"
             if rng.random() < 0.3:
                 base = list(text)
                 for _ in range(4):
-                    base[rng.randrange(150)] = f"w{rng.randrange(10**6)}"
+                    base[rng.randrange(size)] = f"w{rng.randrange(10**6)}"
                 rows.append((i, " ".join(base)))
                 i += 1
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    want = brute(rows)
-    for block in (1024, 8):
-        assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df, block=block).collect()} == want
+    want, _ = brute(rows)
+    for block in (minhash.BLOCK, 400):
+        assert result(minhash.near_duplicates(df, block=block)) == want
+
+
+def test_no_short_pair_is_lost(spark):
+    """100,000 pairs of 3 shingles inside 4, at the threshold exactly."""
+    from pyspark.sql import functions as F
+
+    words = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(6)), lambda k: F.xxhash64("id", k).cast("string")), " ")
+    pairs = spark.range(100_000).select("id", words.alias("text"))
+    rows = pairs.select((F.col("id") * 2).alias("doc_id"), "text").union(pairs.select((F.col("id") * 2 + 1).alias("doc_id"), F.concat("text", F.lit(" x"))))
+    found = minhash.near_duplicates(rows)
+    assert found.filter("component_id <> doc_id - doc_id % 2").count() == 0 and found.groupBy("n_shingles").count().count() == 2
 
 
 def test_minima_and_maxima_estimate_the_similarity():
@@ -76,31 +104,22 @@ def test_minima_and_maxima_estimate_the_similarity():
     common, mine, other = (" ".join(f"w{x}" for x in rng.integers(0, 10**9, k)) for k in (600, 100, 100))
     sets, offsets = minhash.shingle_sets(*utf8(pa.array([f"{common} {mine}", f"{common} {other}"])))
     a, b = (set(sets[offsets[k] : offsets[k + 1]].tolist()) for k in (0, 1))
-    rows = minhash.sketches(sets, offsets)
-    assert rows.shape[1] == 2 * minhash.BANDS * minhash.PERMUTATIONS_A_BAND
-    assert abs((rows[0] == rows[1]).mean() - len(a & b) / len(a | b)) < 0.1
-
-
-def test_short_texts_at_the_threshold_share_a_band():
-    """3 shingles inside 4: 72 bands leave 6.7e-5 of such pairs without a common one."""
-    rng, missed = np.random.default_rng(5), 0
-    for _ in range(10):
-        words = [[f"w{x}" for x in row] for row in rng.integers(0, 10**9, (10_000, 8)).tolist()]
-        texts = [" ".join(w[:k]) for w in words for k in (7, 8)]
-        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
-        got = pa.Table.from_batches(minhash._signatures(iter([batch])))
-        assert got.column("n").to_pylist()[:4] == [3, 4, 3, 4]
-        bands = got.column("bands").combine_chunks().flatten().to_numpy().reshape(10_000, 2, -1)
-        missed += int((bands[:, 0] != bands[:, 1]).all(1).sum())
-    assert missed == 0
-
-
-def test_sets_of_all_sizes_keep_their_bands():
-    """Small and large sets and empty texts in one batch have the bands they have alone."""
+    values = np.stack(list(minhash.signatures(sets, offsets)))
+    assert len(values) == 2 * minhash.BANDS * minhash.PERMUTATIONS_A_BAND
+    assert abs((values[:, 0] == values[:, 1]).mean() - len(a & b) / len(a | b)) < 0.1
+
+
+def test_sets_of_all_sizes():
+    """Small and large sets and empty texts in one batch have the bands and lists they have alone."""
     texts = ["", "a", None, " ".join(f"x{i}" for i in range(64)), " ".join(f"x{i}" for i in range(65)), "b c", " ".join(f"y{i}" for i in range(300))]
-    signed = lambda some: [r for b in minhash._signatures(iter([pa.RecordBatch.from_arrays([pa.array([0] * len(some)), pa.array(some, pa.string())], ["doc_id", "text"])])) for r in b.column("bands").to_pylist()]
+
+    def signed(some):
+        none = [0] * len(some)
+        batch = pa.RecordBatch.from_arrays([pa.array(none), pa.array(none), pa.array(none), pa.array(some, pa.string())], ["doc_id", "h1", "h2", "text"])
+        return [(b, s) for out in minhash._signatures(iter([batch])) for b, s in zip(out.column("bands").to_pylist(), out.column("small").to_pylist(), strict=True)]
+
     together = signed(texts)
-    assert [len(r) for r in together] == [0, 108, 0, 108, 72, 108, 72]
+    assert [len(b) for b, _ in together] == [0, 0, 0, 0, 72, 0, 72] and [len(s) for _, s in together] == [0, 1, 0, 60, 61, 1, 0]
     assert together == [signed([t])[0] for t in texts]
 
 

@@ -1,6 +1,7 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from ferrule.llm import repeats
@@ -25,6 +26,40 @@ def brute(texts, length, keep_first=False):
     return out
 
 
+def test_factors_are_those_of_the_definition():
+    """Longest previous factors over all windows of some bytes, capped, against a search of every earlier window."""
+    rng = np.random.default_rng(4)
+    for alphabet, length in ((1, 20), (2, 20), (3, 200), (4, 37), (250, 9)):
+        data = rng.integers(0, alphabet, 700).astype(np.uint8)
+        if length == 200:
+            data[400:650] = data[100:350]
+        at, standing = np.arange(len(data) - length + 1), rng.permutation(len(data) - length + 1)
+        order, lcp = repeats.suffix_order(data, at, standing, length)
+        windows = [data[i : i + length].tobytes() for i in at]
+        assert [windows[i] for i in order] == sorted(windows)
+        got = np.empty(len(at), np.int64)
+        got[order] = repeats.previous_factors(lcp, standing[order])
+        common = lambda a, b: next((k for k in range(length) if a[k] != b[k]), length)
+        for i in rng.choice(len(at), 25, replace=False).tolist():
+            assert got[i] == max((common(windows[i], windows[j]) for j in np.flatnonzero(standing < standing[i]).tolist()), default=0)
+
+
+def test_the_array_decides(spark, monkeypatch):
+    """Without factors, different segments have no repeats: nothing beside the array says so."""
+    shared = "".join(chr(97 + i * 7 % 26) + str(i) for i in range(60))
+    df = spark.createDataFrame([(i, f"{i} {i * 7919} left {shared} right {i * 104729}") for i in range(1, 6)], "doc_id long, text string")
+    for hot in (1, 20_000):
+        assert repeats.repeated_spans(df.selectExpr("doc_id as doc", "doc_id as doc_order", "text"), 150, hot_segments=hot).count() == 5
+    run = repeats.matched(150, False)
+    import pyarrow as pa
+
+    text = (shared[:170]).encode()
+    group = pa.table({"doc": [1, 2], "doc_order": [1, 2], "lo": pa.array([0, 0], pa.int32()), "n": pa.array([2, 3], pa.int32()), "segment": [text[:151], text[:152]]})
+    assert run(group).num_rows == 2
+    monkeypatch.setattr(repeats, "previous_factors", lambda lcp, standing: np.zeros(len(lcp), np.int64))
+    assert run(group).num_rows == 0
+
+
 @pytest.mark.parametrize("hot", [2, 20_000])
 @pytest.mark.parametrize("length", [20, 200])
 def test_odd_rows(odd, clashing, length, hot):
