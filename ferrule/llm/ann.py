@@ -30,6 +30,8 @@ CODEBOOKS, WORDS, BEAM = 8, 256, 4
 SAMPLE = 8192
 #: Rows of the index in a block, and queries that a task holds against one.
 ROWS, QUERIES = 4096, 4096
+#: Candidates with the smallest approximate distances, reranked first.
+FIRST = 32
 
 
 def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> np.ndarray:
@@ -101,7 +103,7 @@ def build_index(rows: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, np.nd
     if not fitted:
         return rows.withColumns(new), None
     books = fit(np.array([r.embedding for r in fitted], np.float64))
-    shared = rows.sparkSession.sparkContext.broadcast(books)
+    shared, names = rows.sparkSession.sparkContext.broadcast(books), [*rows.columns, *new]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         books = shared.value
@@ -114,7 +116,7 @@ def build_index(rows: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, np.nd
                 length = lambda v: pa.array(np.sqrt((v**2).sum(1)))
                 cell = codes[:, 0].astype(np.int32) * WORDS + codes[:, 1]
                 columns = [pa.array([c.tobytes() for c in codes], pa.binary()), pa.array((near**2).sum(1)), length(x - near), pa.array(cell), length(x - first)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *new])
+                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=names)
 
     return materialize(rows.mapInArrow(add, rows.limit(0).withColumns(new).schema), "ann-index"), books
 
