@@ -21,12 +21,20 @@ def _string(column) -> Typed:
     return Typed(column, T.StringType())
 
 
+def _number(x: Typed):
+    """As a number; a text that is none raises."""
+    if x.numeric:
+        return x.column
+    text = x.text()
+    return F.coalesce(x.number(), F.when(text.isNotNull(), F.raise_error(F.concat(F.lit("not a number: "), text)).cast("double")))
+
+
 def _absolute(x: Typed) -> Typed:
-    return Typed(F.abs(x.column), x.kind) if x.numeric else Typed(F.abs(x.column.cast("double")), T.DoubleType())
+    return Typed(F.abs(_number(x)), x.kind if x.numeric else T.DoubleType())
 
 
 def _rounded(x: Typed) -> Typed:
-    return Typed(F.round(x.column), x.kind) if x.numeric else Typed(F.round(x.column.cast("double")), T.DoubleType())
+    return Typed(F.round(_number(x)), x.kind if x.numeric else T.DoubleType())
 
 
 def _date_part(part):

@@ -8,6 +8,7 @@ so that filters reach the Parquet reader.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -52,22 +53,34 @@ class Typed:
         return self.column if self.string else self.column.cast("string")
 
 
+# What a number's text looks like; nothing may follow it, no suffix and no blank.
+BLANK = r"[ \t\n\x0B\f\r]*"
+PLAIN = BLANK + r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"
+SPECIAL = BLANK + r"[+-]?([nN][aA][nN]|[iI][nN][fF]([iI][nN][iI][tT][yY])?)"
+HEXADECIMAL = BLANK + r"[+-]?0[xX]([0-9a-fA-F]+\.?[0-9a-fA-F]*|\.[0-9a-fA-F]+)([pP][+-]?[0-9]+)?"
+
+
 def parsed(column: Column) -> Column:
     """The number that a text holds, or null.
 
-    A failed cast is slow, so texts are looked at first: numbers begin with a
-    blank, a sign, a point or a digit, all of which sort before the colon, or
-    with NaN or Infinity.
+    A failed cast and a pattern are slow, so texts are looked at first: plain
+    numbers begin with a blank, a sign, a point or a digit, all of which sort
+    before the colon, and end in a digit or a point. The cast refuses what is left of
+    other texts, but for hexadecimal ones, which it takes with an exponent only.
     """
-    return F.when((column < ":") | F.substring(column, 1, 1).isin("n", "N", "i", "I"), column.try_cast("double"))
+    last = F.substring(column, -1, 1)
+    plain = F.when((column < ":") & (last >= ".") & (last <= "9"), column.try_cast("double"))
+    special = F.when(last.isin("n", "N", "f", "F", "y", "Y") & column.rlike(f"^{SPECIAL}$"), column.try_cast("double"))
+    with_exponent = F.when(F.contains(F.lower(column), F.lit("p")), column).otherwise(F.concat(column, F.lit("p0")))
+    hexadecimal = F.when(F.contains(F.lower(column), F.lit("x")) & column.rlike(f"^{HEXADECIMAL}$"), with_exponent.try_cast("double"))
+    return F.coalesce(plain, special, hexadecimal)
 
 
 def number_in(text: str) -> float | None:
-    """The number that a constant text spells, or None."""
-    try:
-        return None if "_" in text else float(text)
-    except ValueError:
-        return None
+    """The number that a constant text spells, or None; the same texts as for ``parsed``."""
+    if re.fullmatch(PLAIN, text) or re.fullmatch(SPECIAL, text):
+        return float(text)
+    return float.fromhex(text.strip()) if re.fullmatch(HEXADECIMAL, text) else None
 
 
 def marked(df: DataFrame) -> DataFrame:

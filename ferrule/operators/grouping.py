@@ -8,11 +8,12 @@ from pyspark.sql import types as T
 
 from ferrule.errors import ExecutionError
 from ferrule.functions.aggregate import build
-from ferrule.functions.typed import Typed, field_of
+from ferrule.functions.typed import Typed, field_of, quoted
 from ferrule.plans.lowering import Scope, fail
 from ferrule.plans.syntax import AGGREGATES, Call, Name, Node, Star, children, text_of
 
 BARE_COUNT = "count"
+PLACE = "place of the row"
 
 
 def aggregate_in(node: Node, columns: list[str]) -> bool:
@@ -30,10 +31,10 @@ def grouped(df: DataFrame, keys: tuple[Node, ...], wanted: list[Node]) -> Scope:
     """Group ``df`` and return (rows, scope) in which the ``wanted`` expressions can be lowered.
 
     Each distinct aggregate is computed once. A column that is neither key nor
-    aggregated takes its value in one row of the group.
+    aggregated takes its value in the first row of the group.
     """
     scope = Scope.of(df)
-    names, known, computed, finals = [], {}, [], {}
+    names, known, computed, finals, firsts = [], {}, [], {}, []
     for i, key in enumerate(keys):
         lowered = scope.lower(key)
         names.append(lowered.column.alias(f"key {i}"))
@@ -58,8 +59,9 @@ def grouped(df: DataFrame, keys: tuple[Node, ...], wanted: list[Node]) -> Scope:
             known[text] = Typed(F.col(f"`{spot}`"), T.NullType())
         elif isinstance(node, Name):
             found = scope.find(node)
+            firsts.append(node)
             spot = f"value {len(computed)}"
-            computed.append(F.first(found.column).alias(spot))
+            computed.append((F.first(found.column) if df.isStreaming else F.min_by(found.column, F.col(PLACE))).alias(spot))
             finals[text] = spot
             known[text] = Typed(F.col(f"`{spot}`"), found.kind, found.untyped)
         else:
@@ -70,16 +72,25 @@ def grouped(df: DataFrame, keys: tuple[Node, ...], wanted: list[Node]) -> Scope:
         need(node)
     if not computed:
         computed.append(F.count(F.lit(1)).alias("value 0"))
-    rows = df.groupBy(*names).agg(*computed)
+    rows = (placed(df) if firsts and not df.isStreaming else df).groupBy(*names).agg(*computed)
     for text, spot in finals.items():
         known[text] = Typed(F.col(f"`{spot}`"), field_of(rows, spot).kind, known[text].untyped)
     return rows, Scope(known)
 
 
+def placed(df: DataFrame) -> DataFrame:
+    """``df`` with the place of each row: tasks read a file's splits in order, so places follow the file."""
+    return df.withColumn(PLACE, F.monotonically_increasing_id())
+
+
 def first_rows(df: DataFrame, keys: tuple[Node, ...]) -> DataFrame:
-    """One whole row of each group."""
+    """The first whole row of each group."""
     if not all(isinstance(k, Name) for k in keys):
         raise ExecutionError("select * with group by needs columns as keys")
     for k in keys:
         Scope.of(df).find(k)
-    return df.dropDuplicates([k.name for k in keys])
+    if df.isStreaming:
+        return df.dropDuplicates([k.name for k in keys])
+    row = F.struct(*[F.col(quoted(f.name)).alias(f"c{i}") for i, f in enumerate(df.schema)])
+    first = placed(df).groupBy(*[F.col(quoted(k.name)).alias(f"key {i}") for i, k in enumerate(keys)]).agg(F.min_by(row, F.col(PLACE)).alias("row"))
+    return first.select([F.col(f"row.c{i}").alias(f.name, metadata=f.metadata) for i, f in enumerate(df.schema)])

@@ -16,9 +16,9 @@ def _tagged(df: DataFrame, names: set[str], tag: str) -> DataFrame:
     return df.select([F.col(quoted(c)).alias(tag + c) if c in names else F.col(quoted(c)) for c in df.columns])
 
 
-def _conjuncts(node: Node) -> list[Node]:
+def conjuncts(node: Node) -> list[Node]:
     if isinstance(node, Binary) and node.op == "and":
-        return _conjuncts(node.left) + _conjuncts(node.right)
+        return conjuncts(node.left) + conjuncts(node.right)
     return [node]
 
 
@@ -45,7 +45,7 @@ def joined(left: DataFrame, right: DataFrame, how: str, condition: Node | None)
         return scope.condition(node, key=True)
 
     on = None
-    for node in _conjuncts(condition) if condition is not None else []:
+    for node in conjuncts(condition) if condition is not None else []:
         on = one(node) if on is None else on & one(node)
     if on is None:
         out = a.crossJoin(b)

@@ -8,7 +8,7 @@ import json
 import uuid
 from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,25 +33,41 @@ def export(df: DataFrame, path: str, single_file: bool = True) -> None:
     if suffix not in (*SEPARATORS, ".json", ".parquet"):
         raise ExecutionError(f"cannot write {path}: use .csv, .tsv, .json or .parquet")
     plain = df.select([F.col(quoted(f.name)) if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) or suffix in (".json", ".parquet") else F.to_json(F.col(quoted(f.name))).alias(f.name) for f in df.schema])
-    if suffix == ".parquet":
-        plain.write.mode("overwrite").parquet(path)
-        return
-    if not single_file:
-        writer = plain.write.mode("overwrite")
-        writer.json(path) if suffix == ".json" else writer.option("header", True).option("sep", SEPARATORS[suffix]).option("escape", '"').csv(path)
-        return
-    parts = f"{path}.parts-{uuid.uuid4().hex[:8]}"
+    spark, new = df.sparkSession, f"{path}.new-{uuid.uuid4().hex[:8]}"
+    parts = f"{new}.parts"
+    # Everything is read and written before what stood there goes, for it may be the source.
     try:
-        if suffix == ".json":
+        if suffix == ".parquet":
+            plain.write.parquet(new)
+        elif not single_file:
+            plain.write.json(new) if suffix == ".json" else plain.write.option("header", True).option("sep", SEPARATORS[suffix]).option("escape", '"').csv(new)
+        elif suffix == ".json":
             row = F.to_json(F.struct(*[F.col(quoted(c)) for c in plain.columns]), {"ignoreNullFields": "false"})
             plain.select(F.concat(F.lit(",\n"), row).alias("value")).write.option("lineSep", " ").text(parts)
-            _join(df, parts, path, "[", "\n]\n", skip=1)
+            _join(df, parts, new, "[", "\n]\n", skip=1)
         else:
             sep = SEPARATORS[suffix]
             plain.write.option("sep", sep).option("escape", '"').option("emptyValue", "").csv(parts)
-            _join(df, parts, path, next(separated([plain.columns], sep)), "", skip=0)
+            _join(df, parts, new, next(separated([plain.columns], sep)), "", skip=0)
+        _swap(spark, new, path)
     finally:
-        delete(df.sparkSession, parts)
+        delete(spark, parts)
+        delete(spark, new)
+
+
+def _swap(spark: SparkSession, new: str, path: str) -> None:
+    """Put ``new`` in the place of ``path``; what stood there is kept until then."""
+    fs, target = file_system(spark, path)
+    if fs.exists(target):
+        old = file_system(spark, f"{path}.old-{uuid.uuid4().hex[:8]}")[1]
+        if not fs.rename(target, old):
+            raise ExecutionError(f"cannot replace {path}")
+        if not fs.rename(file_system(spark, new)[1], target):
+            fs.rename(old, target)
+            raise ExecutionError(f"cannot write {path}")
+        fs.delete(old, True)
+    elif not fs.rename(file_system(spark, new)[1], target):
+        raise ExecutionError(f"cannot write {path}")
 
 
 def _join(df: DataFrame, parts: str, path: str, before: str, after: str, skip: int) -> None:
@@ -62,7 +78,8 @@ def _join(df: DataFrame, parts: str, path: str, before: str, after: str, skip: i
     out = fs.create(target, True)
     try:
         out.write(before.encode())
-        names = sorted(f.getPath().toString() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-") and f.getLen() > 0)
+        names = [f.getPath().toString() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-") and f.getLen() > 0]
+        names.sort(key=lambda name: int(name.rpartition("/part-")[2].split("-")[0]))
         for i, name in enumerate(names):
             stream = fs.open(file_system(spark, name)[1])
             if i == 0 and skip:

@@ -9,13 +9,17 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ferrule.errors import ExecutionError
+
 _OWN: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a folder of our own where that is unset."""
+    """``spark.checkpoint.dir``, or a folder of our own where that is unset and all runs on one machine."""
     if folder := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ExecutionError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="ferrule-"))
         atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)

@@ -3,24 +3,38 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ferrule.errors import ExecutionError
-from ferrule.functions.typed import UNTYPED, Typed
+from ferrule.functions.typed import UNTYPED, Typed, compare, field_of, quoted
 from ferrule.limits import Limits
 from ferrule.operators.grouping import aggregate_in, first_rows, grouped
-from ferrule.operators.joins import joined
+from ferrule.operators.joins import conjuncts, joined
 from ferrule.operators.recursive import fixpoint
 from ferrule.plans.lowering import Scope
-from ferrule.plans.syntax import Join, Name, Node, Output, Query, Simple, Star, Union, is_condition, text_of, walk
+from ferrule.plans.syntax import InQuery, Join, Name, Node, Output, Query, Simple, Star, Union, is_condition, text_of, walk
+
+
+#: Name of an in query's column while it is joined.
+MEMBER = "member of the query"
+
+
+def mentioned(q: Simple) -> set[str] | None:
+    """The names in a query's expressions, all that its sources need to give; None if it selects ``*``."""
+    nodes = [*(o.expr for o in q.select), q.where, q.having, *q.group, *(e for e, *_ in q.order), *(j.condition for j in q.joins)]
+    if isinstance(nodes[0], Star):
+        return None
+    return {x.name for node in nodes if node is not None for x in walk(node) if isinstance(x, Name)}
 
 
 class Planner:
-    """Plans with one set of sources: ``open_source`` reads a named one."""
+    """Plans with one set of sources: ``open_source`` reads a named one and is told which columns are wanted."""
 
-    def __init__(self, open_source: Callable[[str], DataFrame], limits: Limits):
+    def __init__(self, open_source: Callable[[str, set[str] | None], DataFrame], limits: Limits):
         self.open_source, self.limits = open_source, limits
 
     def plan(self, query: Query, env: dict[str, DataFrame] | None = None) -> DataFrame:
@@ -46,25 +60,37 @@ class Planner:
             return self.simple(body, env)
         left, right = self.body(body.left, env), self.simple(body.right, env)
         if len(left.columns) != len(right.columns):
-            raise ExecutionError(f"union of {len(left.columns)} and {len(right.columns)} columns")
+            raise ExecutionError(f"{body.op} of {len(left.columns)} and {len(right.columns)} columns")
+        match body.op, body.keep_all:
+            case "intersect", keep:
+                return left.intersectAll(right) if keep else left.intersect(right)
+            case "except", keep:
+                return left.exceptAll(right) if keep else left.subtract(right)
         out = left.union(right)
         return out if body.keep_all else out.distinct()
 
-    def source(self, source, env: dict) -> DataFrame:
+    def source(self, source, env: dict, wanted: set[str] | None) -> DataFrame:
         if isinstance(source, Query):
             return self.plan(source, env)
-        return env[source] if source in env else self.open_source(source)
+        return env[source] if source in env else self.open_source(source, wanted)
 
     def simple(self, q: Simple, env: dict) -> DataFrame:
-        df = self.source(q.source, env)
+        wanted = mentioned(q)
+        df = self.source(q.source, env, wanted)
         for join in q.joins:
-            df = self.join(df, join, env)
+            df = self.join(df, join, env, wanted)
         if q.where is not None:
-            self.no_constants(q.where)
-            df = df.filter(Scope.of(df).condition(q.where))
+            for part in conjuncts(q.where):
+                if isinstance(part, InQuery):
+                    df = self.among(df, part, env)
+            rest = [part for part in conjuncts(q.where) if not isinstance(part, InQuery)]
+            if rest:
+                self.no_constants(q.where)
+            for part in rest:
+                df = df.filter(Scope.of(df).condition(part))
         outputs = [o.expr for o in q.select]
         star = isinstance(outputs[0], Star)
-        wanted = [*([] if star else outputs), *([q.having] if q.having is not None else []), *(e for e, _ in q.order)]
+        wanted = [*([] if star else outputs), *([q.having] if q.having is not None else []), *(e for e, *_ in q.order)]
         has_aggregate = any(aggregate_in(e, df.columns) for e in wanted)
         if q.group and star and not has_aggregate:
             df = first_rows(df, q.group)
@@ -83,12 +109,22 @@ class Planner:
             df = df.filter(scope.condition(q.having))
         return self.finish(q, df, scope, star, aggregated=has_aggregate)
 
-    def join(self, df: DataFrame, join: Join, env: dict) -> DataFrame:
+    def join(self, df: DataFrame, join: Join, env: dict, wanted: set[str] | None) -> DataFrame:
         try:
-            return joined(df, self.source(join.source, env), join.how, join.condition)
+            return joined(df, self.source(join.source, env, wanted), join.how, join.condition)
         except ExecutionError as e:
             raise e if e.line else ExecutionError(e.message, join.line, join.column) from e
 
+    def among(self, df: DataFrame, node: InQuery, env: dict) -> DataFrame:
+        """Rows whose value is in a query's column (semi join), or surely not in it (null-aware anti join)."""
+        found = self.plan(node.query, env)
+        if len(found.columns) != 1:
+            raise ExecutionError(f"in (query) needs one column, not {len(found.columns)}", node.line, node.column)
+        field = found.schema[0]
+        option = found.select(F.col(quoted(field.name)).alias(MEMBER, metadata=field.metadata))
+        equal = compare("==", Scope.of(df).lower(node.operand), field_of(option, MEMBER), key=True)
+        return df.join(option, equal | equal.isNull(), "left_anti") if node.negated else df.join(option, equal, "left_semi")
+
     def no_constants(self, node: Node) -> None:
         if not any(isinstance(x, Name) for x in walk(node)):
             raise ExecutionError("a condition needs a field", node.line, node.column)
@@ -105,21 +141,24 @@ class Planner:
 
         def ordered(rows: DataFrame, of: Scope) -> DataFrame:
             keys = []
-            for expr, descending in q.order:
+            for expr, descending, nulls in q.order:
                 expr = named.get(text_of(expr), expr) if text_of(expr) not in of.known else expr
                 value = of.lower(expr)
                 columns = [value.number().isNull(), value.number(), value.column] if value.untyped and value.string else [value.column]
+                if nulls:
+                    keys.append(value.column.isNull().desc() if nulls == "first" else value.column.isNull().asc())
                 keys += [c.desc() if descending else c.asc() for c in columns]
             return rows.orderBy(*keys) if keys else rows
 
         def project(rows: DataFrame) -> DataFrame:
             if star:
                 return rows
-            columns, used = [], {}
-            for o in q.select:
-                name = o.alias or text_of(o.expr)
-                used[name] = used.get(name, 0) + 1
-                name = name if used[name] == 1 else f"{name}_{used[name]}"
+            columns, used = [], set()
+            given = [o.alias or text_of(o.expr) for o in q.select]
+            for o, name in zip(q.select, given, strict=True):
+                if name in used:
+                    name = next(n for i in count(2) if (n := f"{name}_{i}") not in used and n not in given)
+                used.add(name)
                 lowered = output(o)
                 keep = lowered.untyped and lowered.string
                 columns.append(lowered.column.alias(name, metadata={UNTYPED: True}) if keep else lowered.column.alias(name))
@@ -130,4 +169,5 @@ class Planner:
             df = ordered(df, Scope.of(df))
         else:
             df = project(ordered(df, scope))
+        df = df.offset(q.offset) if q.offset else df
         return df.limit(q.limit) if q.limit is not None else df

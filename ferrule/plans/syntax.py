@@ -72,6 +72,15 @@ class Among(Node):
     negated: bool
 
 
+@dataclass(frozen=True)
+class InQuery(Node):
+    """Membership in the one column of a query."""
+
+    operand: Node
+    query: object
+    negated: bool
+
+
 @dataclass(frozen=True)
 class Between(Node):
     operand: Node
@@ -105,16 +114,20 @@ class Simple:
     where: Node | None = None
     group: tuple[Node, ...] = ()
     having: Node | None = None
-    order: tuple[tuple[Node, bool], ...] = ()  # (expression, descending)
+    order: tuple[tuple[Node, bool, str | None], ...] = ()  # (expression, descending, where nulls go: first or last)
     limit: int | None = None
+    offset: int = 0
     distinct: bool = False
 
 
 @dataclass(frozen=True)
 class Union:
+    """Two queries put together: op is union, intersect or except; ``keep_all`` keeps repeated rows."""
+
     left: object
     right: Simple
     keep_all: bool
+    op: str = "union"
 
 
 @dataclass(frozen=True)
@@ -127,6 +140,7 @@ class Query:
 
 COMPARISONS = {"==", "!=", ">", "<", ">=", "<="}
 CONDITIONS = COMPARISONS | {"and", "or", "like"}
+SET_OPERATIONS = ("union", "intersect", "except")
 AGGREGATES = {"count", "sum", "avg", "min", "max"}
 
 
@@ -153,6 +167,8 @@ def text_of(node: Node) -> str:
             return f"{text_of(operand)} is {'not ' if negated else ''}null"
         case Among(operand, options, negated):
             return f"{text_of(operand)} {'not ' if negated else ''}in ({', '.join(map(text_of, options))})"
+        case InQuery(operand, _, negated):
+            return f"{text_of(operand)} {'not ' if negated else ''}in (query)"
         case Between(operand, low, high, negated):
             return f"{text_of(operand)} {'not ' if negated else ''}between {text_of(low)} and {text_of(high)}"
     raise TypeError(f"not an expression: {node!r}")
@@ -164,7 +180,7 @@ def children(node: Node) -> tuple[Node, ...]:
             return args
         case Binary(_, left, right):
             return left, right
-        case Not(operand) | Negative(operand) | IsNull(operand):
+        case Not(operand) | Negative(operand) | IsNull(operand) | InQuery(operand):
             return (operand,)
         case Among(operand, options):
             return operand, *options
@@ -180,4 +196,4 @@ def walk(node: Node):
 
 
 def is_condition(node: Node) -> bool:
-    return isinstance(node, (Not, IsNull, Among, Between)) or isinstance(node, Binary) and node.op in CONDITIONS
+    return isinstance(node, (Not, IsNull, Among, Between, InQuery)) or isinstance(node, Binary) and node.op in CONDITIONS

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ferrule.limits import Limits
 from ferrule.operators.sinks import export
-from ferrule.operators.tables import shared_folder
+from ferrule.operators.tables import file_system, shared_folder
 from ferrule.session import Engine
 
 #: name: (query, SQL).
@@ -21,6 +21,7 @@ CATALOGUE: dict[str, tuple[str, str]] = {
     "project_alias": ("from nation.parquet select n_name as nation, n_nationkey as key", "SELECT n_name AS nation, n_nationkey AS key FROM nation"),
     "project_literal": ('from region.parquet select r_name, "x" as tag, 7 as seven', "SELECT r_name, 'x' AS tag, 7 AS seven FROM region"),
     "project_duplicate": ("from region.parquet select r_name, r_name", "SELECT r_name, r_name AS r_name_2 FROM region"),
+    "project_duplicate_alias": ("from region.parquet select r_regionkey, r_regionkey, r_name as r_regionkey_2", "SELECT r_regionkey, r_regionkey AS r_regionkey_3, r_name AS r_regionkey_2 FROM region"),
     "project_condition": ("from region.parquet select r_name, r_regionkey > 2 as late", "SELECT r_name, r_regionkey > 2 AS late FROM region"),
     "project_distinct": ("from nation.parquet select distinct n_regionkey", "SELECT DISTINCT n_regionkey FROM nation"),
     "clauses_any_order": ("select n_name where n_regionkey == 1 from nation.parquet", "SELECT n_name FROM nation WHERE n_regionkey = 1"),
@@ -43,7 +44,7 @@ CATALOGUE: dict[str, tuple[str, str]] = {
     "filter_arithmetic": ("from lineitem.parquet where l_extendedprice * (1 - l_discount) > 50000 select l_orderkey, l_linenumber", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_extendedprice * (1 - l_discount) > 50000"),
     "like_prefix": ('from part.parquet where p_type like "S%" select p_partkey, p_type', "SELECT p_partkey, p_type FROM part WHERE p_type LIKE 'S%'"),
     "like_suffix": ('from customer.parquet where c_name like "%7" select c_custkey, c_name', "SELECT c_custkey, c_name FROM customer WHERE c_name LIKE '%7'"),
-    "like_infix": ('from part.parquet where p_name like "%1%" select p_partkey, p_name', "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%1%'"),
+    "like_infix": ('from part.parquet where p_type like "%A%" select p_partkey, p_type', "SELECT p_partkey, p_type FROM part WHERE p_type LIKE '%A%'"),
     "like_single_char": ('from customer.parquet where c_mktsegment like "B______G" select c_custkey, c_mktsegment', "SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment LIKE 'B______G'"),
     # Aggregation
     "count_all": ("from lineitem.parquet select count", "SELECT count(*) AS count FROM lineitem"),
@@ -65,8 +66,8 @@ CATALOGUE: dict[str, tuple[str, str]] = {
         "from lineitem.parquet group by l_returnflag, l_linestatus select l_returnflag, l_linestatus, count(*) as n, sum(l_quantity) as quantity",
         "SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem GROUP BY l_returnflag, l_linestatus",
     ),
-    "group_first_value": ("from nation.parquet group by n_nationkey select n_nationkey, n_name, count(*) as n", "SELECT n_nationkey, any_value(n_name) AS n_name, count(*) AS n FROM nation GROUP BY n_nationkey"),
-    "group_star_first_row": ("from region.parquet group by r_regionkey select *", "SELECT * FROM region"),
+    "group_first_value": ("from nation.parquet group by n_regionkey select n_regionkey, n_name, count(*) as n", "SELECT n_regionkey, arg_min(n_name, n_nationkey) AS n_name, count(*) AS n FROM nation GROUP BY n_regionkey"),
+    "group_star_first_row": ("from nation.parquet group by n_regionkey select *", "SELECT * FROM nation QUALIFY row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) = 1"),
     "group_by_expression": ("from orders.parquet group by year(o_orderdate) select year(o_orderdate) as y, count(*) as n", "SELECT CAST(year(o_orderdate) AS INTEGER) AS y, count(*) AS n FROM orders GROUP BY 1"),
     "agg_of_scalar": ("from customer.parquet select round(sum(abs(c_acctbal))) as total, max(length(c_name)) as longest", "SELECT round(sum(abs(c_acctbal))) AS total, CAST(max(length(c_name)) AS INTEGER) AS longest FROM customer"),
     "scalar_of_agg": (
@@ -85,7 +86,12 @@ CATALOGUE: dict[str, tuple[str, str]] = {
     "order_by_unselected": ("from orders.parquet order by o_orderkey desc select o_custkey limit 5", "SELECT o_custkey FROM orders ORDER BY o_orderkey DESC LIMIT 5"),
     "order_by_aggregate": ("from orders.parquet group by o_custkey select o_custkey, count(*) as n order by count(*) desc, o_custkey limit 7", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey ORDER BY count(*) DESC, o_custkey LIMIT 7"),
     "order_by_hidden_aggregate": ("from orders.parquet group by o_custkey select o_custkey order by max(o_totalprice) desc limit 5", "SELECT o_custkey FROM orders GROUP BY o_custkey ORDER BY max(o_totalprice) DESC LIMIT 5"),
-    "order_all": ("from nation.parquet select n_name order by n_name", "SELECT n_name FROM nation ORDER BY n_name"),
+    "order_all": ("from customer.parquet select c_name order by c_name", "SELECT c_name FROM customer ORDER BY c_name"),
+    "order_offset": ("from orders.parquet select o_orderkey order by o_orderkey offset 20 limit 10", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 20"),
+    "order_nulls_last": (
+        "from customer.parquet left join (from orders.parquet where o_totalprice > 400000 select o_custkey, o_orderkey) on c_custkey == o_custkey select c_custkey, o_orderkey order by o_orderkey nulls last, c_custkey limit 15",
+        "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 400000) ON c_custkey = o_custkey ORDER BY o_orderkey NULLS LAST, c_custkey LIMIT 15",
+    ),
     # Joins
     "join_equi": ("from nation.parquet join region.parquet on n_regionkey == r_regionkey select n_name, r_name", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey"),
     "join_multi": (
@@ -112,7 +118,19 @@ CATALOGUE: dict[str, tuple[str, str]] = {
     ),
     "join_left": ("from customer.parquet left join (from orders.parquet where o_totalprice > 400000 select o_custkey, o_orderkey) on c_custkey == o_custkey select c_custkey, o_orderkey", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 400000) ON c_custkey = o_custkey"),
     "join_semi": ("from customer.parquet semi join (from orders.parquet where o_totalprice > 400000 select o_custkey) on c_custkey == o_custkey select c_custkey", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)"),
-    "join_anti": ("from customer.parquet anti join orders.parquet on c_custkey == o_custkey select c_custkey", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE c_custkey = o_custkey)"),
+    "join_anti": (
+        "from customer.parquet anti join (from orders.parquet where o_totalprice > 400000 select o_custkey) on c_custkey == o_custkey select c_custkey",
+        "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE c_custkey = o_custkey AND o_totalprice > 400000)",
+    ),
+    "join_full": (
+        "from nation.parquet full join (from region.parquet where r_regionkey > 2 select r_regionkey, r_name) on n_regionkey == r_regionkey select n_name, r_name",
+        "SELECT n_name, r_name FROM nation FULL JOIN (SELECT * FROM region WHERE r_regionkey > 2) ON n_regionkey = r_regionkey",
+    ),
+    "join_right": (
+        "from (from nation.parquet where n_nationkey < 3 select n_name, n_regionkey) right join region.parquet on n_regionkey == r_regionkey select n_name, r_name",
+        "SELECT n_name, r_name FROM (SELECT * FROM nation WHERE n_nationkey < 3) RIGHT JOIN region ON n_regionkey = r_regionkey",
+    ),
+    "join_cross": ("from region.parquet cross join (from nation.parquet where n_nationkey < 4 select n_name) select r_name, n_name", "SELECT r_name, n_name FROM region CROSS JOIN (SELECT n_name FROM nation WHERE n_nationkey < 4)"),
     # Subqueries, CTEs, unions, recursion
     "subquery_from": ("from (from customer.parquet where c_acctbal > 9000 select c_custkey, c_acctbal) select count(*) as n", "SELECT count(*) AS n FROM customer WHERE c_acctbal > 9000"),
     "subquery_nested": (
@@ -129,6 +147,14 @@ CATALOGUE: dict[str, tuple[str, str]] = {
     ),
     "union_all": ("from customer.parquet select c_nationkey union all from supplier.parquet select s_nationkey", "SELECT c_nationkey FROM customer UNION ALL SELECT s_nationkey FROM supplier"),
     "union_distinct": ("from customer.parquet select c_nationkey union from supplier.parquet select s_nationkey", "SELECT c_nationkey FROM customer UNION SELECT s_nationkey FROM supplier"),
+    "intersect": ("from customer.parquet select c_nationkey intersect from supplier.parquet where s_suppkey < 9 select s_nationkey", "SELECT c_nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier WHERE s_suppkey < 9"),
+    "except": ("from customer.parquet select c_nationkey except from supplier.parquet where s_suppkey < 9 select s_nationkey", "SELECT c_nationkey FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey < 9"),
+    "except_all": ("from customer.parquet select c_nationkey except all from supplier.parquet select s_nationkey", "SELECT c_nationkey FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier"),
+    "in_query": (
+        "from customer.parquet where c_acctbal > 0 and c_custkey in (from orders.parquet where o_totalprice > 300000 select o_custkey) select c_custkey",
+        "SELECT c_custkey FROM customer WHERE c_acctbal > 0 AND c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)",
+    ),
+    "not_in_query": ("from customer.parquet where c_custkey not in (from orders.parquet where o_totalprice > 400000 select o_custkey) select c_custkey", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)"),
     "recursive_counter": (
         "with recursive c as (from region.parquet where r_regionkey == 0 select r_regionkey as id union all from c where id < 10 select id + 1 as id) from c select id",
         "SELECT CAST(i AS INTEGER) AS id FROM range(0, 11) t(i)",
@@ -167,11 +193,24 @@ ROUND_TRIPS: dict[str, tuple[str, str, str, str]] = {
     "into_parquet": ("from part.parquet where p_size > 40 select p_partkey, p_size into part_large.parquet", "part_large.parquet", "from part_large.parquet select p_partkey, p_size", "SELECT p_partkey, p_size FROM part WHERE p_size > 40"),
 }
 
-#: Files that the engine reads but does not write: name: (suffix, query, SQL).
+#: Files that the engine reads but does not write, of some columns of customer: name: (file, query, SQL).
 FOREIGN: dict[str, tuple[str, str, str]] = {
-    "xml_scan": ("nation.xml", "from nation.xml where n_regionkey == 2 select n_name", "SELECT n_name FROM nation WHERE n_regionkey = 2"),
-    "yaml_scan": ("nation.yaml", "from nation.yaml where n_regionkey <= 1 select n_nationkey, n_name", "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name FROM nation WHERE n_regionkey <= 1"),
-    "sqlite_scan": ("nation.sqlite", "from 'nation.sqlite:nation' group by n_regionkey select n_regionkey, count(*) as n", "SELECT CAST(n_regionkey AS VARCHAR) AS n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey"),
+    "xml_scan": ("customer.xml", "from customer.xml where c_nationkey == 2 select c_name", "SELECT c_name FROM customer WHERE c_nationkey = 2"),
+    "yaml_scan": ("customer.yaml", "from customer.yaml where c_nationkey <= 7 select c_custkey, c_name", "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name FROM customer WHERE c_nationkey <= 7"),
+    "yaml_crlf": ("customer_crlf.yaml", "from customer_crlf.yaml where c_mktsegment == 'BUILDING' select c_custkey, c_mktsegment", "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_mktsegment FROM customer WHERE c_mktsegment = 'BUILDING'"),
+    "sqlite_scan": ("customer.sqlite", "from 'customer.sqlite:customer' group by c_nationkey select c_nationkey, count(*) as n", "SELECT CAST(c_nationkey AS VARCHAR) AS c_nationkey, count(*) AS n FROM customer GROUP BY c_nationkey"),
+    "sqlite_filter": ("customer.sqlite", "from customer.sqlite where c_custkey > 100 select c_name", "SELECT c_name FROM customer WHERE c_custkey > 100"),
+}
+
+#: Texts of which some are numbers, and what a query makes of them: name: (text of the file, query, SQL).
+TEXTS: dict[str, tuple[str, str, str]] = {
+    "csv_number_texts": (
+        "k\n12d\n12\n12f\n0x1p2\n 7\n1e1\n7 \n-inf\n1_0\n",
+        "from texts.csv where k != '-inf' select count(*) as n, sum(k) as total, max(k) as high",
+        "SELECT CAST(8 AS BIGINT) AS n, CAST(33 AS DOUBLE) AS total, CAST(12 AS DOUBLE) AS high",
+    ),
+    "csv_number_equal": ("k\n12d\n12\n12f\n12.0\n0xC\nx\n", "from texts.csv where k == 12 select k", "SELECT unnest(['12', '12.0', '0xC']) AS k"),
+    "csv_line_breaks": ('k,v\n1,"a\nb"\n2,"c ""d"", e"\n3,f\n', "from texts.csv where k > 1 select k, v", "SELECT unnest(['2', '3']) AS k, unnest(['c \"d\", e', 'f']) AS v"),
 }
 
 
@@ -201,21 +240,37 @@ def foreign(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         target = folder(spark, name)
-        rows = spark.read.parquet(f"{sf_dir}/nation.parquet").orderBy("n_nationkey").collect()  # 25 rows
+        rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment").orderBy("c_custkey").collect()  # written by hand below
         write_foreign(spark, f"{target}/{file}", rows)
         return Engine(spark, base=target).sql(read)
 
     return run
 
 
+def of_text(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    text, read, _ = TEXTS[name]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        target = folder(spark, name)
+        write_text(spark, f"{target}/texts.csv", text)
+        return Engine(spark, base=target).sql(read)
+
+    return run
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    fs, where = file_system(spark, path)
+    out = fs.create(where, True)
+    out.write(text.encode())
+    out.close()
+
+
 def write_foreign(spark: SparkSession, path: str, rows: list) -> None:
-    """A small XML, YAML or SQLite file of rows."""
+    """A small XML, YAML or SQLite file of rows; SQLite needs a path that is mounted everywhere."""
     import os
     import sqlite3
     from xml.sax.saxutils import escape
 
-    from ferrule.operators.tables import file_system
-
     fs, where = file_system(spark, path)
     fs.mkdirs(where.getParent())
     names = rows[0].__fields__
@@ -224,18 +279,28 @@ def write_foreign(spark: SparkSession, path: str, rows: list) -> None:
         if os.path.exists(plain):
             os.remove(plain)
         db = sqlite3.connect(plain)
-        db.execute(f"CREATE TABLE nation ({', '.join(names)})")
-        db.executemany(f"INSERT INTO nation VALUES ({', '.join('?' * len(names))})", [tuple(r) for r in rows])
+        db.execute(f"CREATE TABLE customer ({', '.join(names)})")
+        db.executemany(f"INSERT INTO customer VALUES ({', '.join('?' * len(names))})", [tuple(r) for r in rows])
         db.commit()
         db.close()
-        return
-    if path.endswith(".xml"):
-        text = "<?xml version='1.0'?>\n<rows>\n" + "".join("<row>" + "".join(f"<{n}>{escape(str(r[n]))}</{n}>" for n in names) + "</row>\n" for r in rows) + "</rows>\n"
+    elif path.endswith(".xml"):
+        write_text(spark, path, "<?xml version='1.0'?>\n<rows>\n" + "".join("<row>" + "".join(f"<{n}>{escape(str(r[n]))}</{n}>" for n in names) + "</row>\n" for r in rows) + "</rows>\n")
     else:
-        text = "# nations\n" + "".join("- " + "\n  ".join(f"{n}: {r[n]}" for n in names) + "\n" for r in rows)
-    out = fs.create(where, True)
-    out.write(text.encode())
-    out.close()
+        text = "# customers\n" + "".join("- " + "\n  ".join(f"{n}: {r[n]}" for n in names) + "\n" for r in rows)
+        write_text(spark, path, text.replace("\n", "\r\n") if "crlf" in path else text)
+
+
+def into_own_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query may write the file that it reads, in every form."""
+    target, left = folder(spark, "own"), []
+    for suffix in ("parquet", "csv", "tsv", "json"):
+        name = f"nation.{suffix}"
+        export(Engine(spark, base=sf_dir).sql("from nation.parquet select *"), f"{target}/{name}")
+        engine = Engine(spark, base=target)
+        for _ in engine.run(f"from {name} where n_regionkey < 3 select n_name, n_regionkey into {name}"):
+            pass
+        left.append(Engine(spark, base=target).sql(f"from {name} select n_name, '{suffix}' as form"))
+    return left[0].union(left[1]).union(left[2]).union(left[3])
 
 
 def within_row_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,6 +312,7 @@ def within_row_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = (
-    {n: on_table(q) for n, (q, _) in CATALOGUE.items()} | {n: round_trip(n) for n in ROUND_TRIPS} | {n: foreign(n) for n in FOREIGN} | {"limit_rows_within": within_row_limit}
+    {n: on_table(q) for n, (q, _) in CATALOGUE.items()} | {n: round_trip(n) for n in ROUND_TRIPS} | {n: foreign(n) for n in FOREIGN} | {n: of_text(n) for n in TEXTS} | {"limit_rows_within": within_row_limit, "into_own_source": into_own_source}
 )
-ORACLE_SQL: dict[str, str] = {n: s for n, (_, s) in CATALOGUE.items()} | {n: t[3] for n, t in ROUND_TRIPS.items()} | {n: t[2] for n, t in FOREIGN.items()} | {"limit_rows_within": "SELECT count(*) AS n FROM nation"}
+ORACLE_SQL: dict[str, str] = {n: s for n, (_, s) in CATALOGUE.items()} | {n: t[3] for n, t in ROUND_TRIPS.items()} | {n: t[2] for n, t in FOREIGN.items()} | {n: t[2] for n, t in TEXTS.items()}
+ORACLE_SQL |= {"limit_rows_within": "SELECT count(*) AS n FROM nation", "into_own_source": "SELECT n_name, form FROM nation, (VALUES ('parquet'), ('csv'), ('tsv'), ('json')) f(form) WHERE n_regionkey < 3"}

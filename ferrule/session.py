@@ -36,10 +36,10 @@ class Engine:
     def path(self, name: str) -> str:
         return f"{self.base.rstrip('/')}/{name}" if self.base and not name.startswith("/") and "://" not in name else name
 
-    def open(self, name: str) -> DataFrame:
+    def open(self, name: str, wanted: set[str] | None = None) -> DataFrame:
         if name in self.tables:
             return self.tables[name]
-        return open_source(self.spark, self.path(name), self.limits)
+        return open_source(self.spark, self.path(name), self.limits, wanted)
 
     def sql(self, text: str) -> DataFrame:
         """The query as a lazy DataFrame; an into clause plays no part here."""

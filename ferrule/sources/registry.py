@@ -30,6 +30,9 @@ READERS: dict[str, Reader] = {
 #: These may stand anywhere in the name: a table can follow after a colon.
 CONTAINED: dict[str, Reader] = {".sqlite": read_sqlite, ".db": read_sqlite}
 
+#: Readers that take the wanted columns.
+PRUNING = {read_sqlite}
+
 
 def register(suffix: str, reader: Reader) -> None:
     READERS[suffix] = reader
@@ -41,7 +44,8 @@ def check_path(path: str) -> None:
         raise SecurityError(f"path traversal is not allowed: {path}")
 
 
-def open_source(spark: SparkSession, name: str, limits: Limits) -> DataFrame:
+def open_source(spark: SparkSession, name: str, limits: Limits, wanted: set[str] | None = None) -> DataFrame:
+    """The source of that name; ``wanted``: the columns that the query mentions (None: all), for readers that Catalyst cannot prune."""
     check_path(name)
     reader = next((r for s, r in READERS.items() if name.lower().endswith(s)), None) or next((r for s, r in CONTAINED.items() if s in name.lower()), None)
     if reader is None:
@@ -49,7 +53,7 @@ def open_source(spark: SparkSession, name: str, limits: Limits) -> DataFrame:
     if limits.file_bytes is not None:
         check_size(spark, name, limits.file_bytes)
     try:
-        return reader(spark, name)
+        return reader(spark, name, wanted) if reader in PRUNING else reader(spark, name)
     except (ExecutionError, SecurityError):
         raise
     except Exception as e:

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ferrule.errors import ExecutionError
 from ferrule.functions.typed import marked
@@ -13,24 +16,36 @@ from ferrule.operators.tables import file_system
 
 #: Files up to this size are one task anyway, so they are read with line breaks in quotes at once.
 ONE_SPLIT = 4 << 20
+#: Bytes of a file that are looked at first.
 HEAD = 1 << 16
 
 
-def head(spark: SparkSession, path: str, size: int = HEAD) -> str:
-    """The beginning of a file, or of the first file of a folder."""
+def first_file(spark: SparkSession, path: str):
+    """(file system, file): the path itself, or the first file of a folder; None for an empty folder."""
     fs, where = file_system(spark, path)
     if not fs.exists(where):
         raise ExecutionError(f"no such file: {path}")
-    if fs.getFileStatus(where).isDirectory():
-        files = sorted((f.getPath().toString(), f) for f in fs.listStatus(where) if f.isFile() and not f.getPath().getName().startswith(("_", ".")))
-        if not files:
-            return ""
-        where = files[0][1].getPath()
-    stream = fs.open(where)
-    try:
-        return bytes(stream.readNBytes(size)).decode("utf-8", "ignore")
-    finally:
-        stream.close()
+    if not fs.getFileStatus(where).isDirectory():
+        return fs, where
+    files = sorted((f.getPath().toString(), f) for f in fs.listStatus(where) if f.isFile() and not f.getPath().getName().startswith(("_", ".")))
+    return fs, files[0][1].getPath() if files else None
+
+
+def heads(spark: SparkSession, path: str, size: int = HEAD) -> Iterator[str]:
+    """Ever longer beginnings of a file, or of the first file of a folder; the last one is the whole."""
+    fs, where = first_file(spark, path)
+    if where is None:
+        return
+    length = fs.getFileStatus(where).getLen()
+    while True:
+        stream = fs.open(where)
+        try:
+            yield bytes(stream.readNBytes(min(size, length))).decode("utf-8", "ignore")
+        finally:
+            stream.close()
+        if size >= length:
+            return
+        size *= 4
 
 
 def total_bytes(spark: SparkSession, path: str) -> int:
@@ -77,26 +92,36 @@ def read_tsv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """An array of objects, or an object a line (which splits among tasks)."""
-    start = head(spark, path).lstrip()
-    lines = start.startswith("{") and "\n{" in start.replace("\r", "")
-    if start and start[0] not in "[{":
+    """An array of objects, an object a line (which splits among tasks), or one object."""
+    start = next((h.lstrip()[0] for h in heads(spark, path) if h.strip()), "")
+    if start and start not in "[{":
         raise ExecutionError(f"{path} is no JSON array of objects")
-    if not lines and start.startswith("{"):
-        if total_bytes(spark, path) > HEAD or not re.fullmatch(r"\{.*\}\s*", start, re.S):
-            raise ExecutionError(f"{path} is no JSON array of objects")
-    reader = spark.read.option("multiLine", not lines).option("primitivesAsString", True).option("mode", "FAILFAST")
-    schema = fact(spark, "schema", path, lambda: reader.json(path).schema)
-    return marked(reader.schema(schema).json(path))
+
+    def reader(lines: bool):
+        return spark.read.option("multiLine", not lines).option("primitivesAsString", True).option("mode", "FAILFAST")
+
+    def find() -> tuple[bool, T.StructType]:
+        """Whether it is lines, and the schema; one object over several lines fails as lines."""
+        if start == "{":
+            try:
+                return True, reader(True).json(path).schema
+            except PySparkException:
+                pass
+        return False, reader(False).json(path).schema
+
+    lines, schema = fact(spark, "schema", path, find)
+    return marked(reader(lines).schema(schema).json(path))
 
 
 def row_tag(spark: SparkSession, path: str) -> str:
     """The element within the root: the second start tag, comments and declarations aside."""
-    start = re.sub(r"<!--.*?-->|<\?.*?\?>|<!\[CDATA\[.*?\]\]>|<![^>]*>", "", head(spark, path), flags=re.S)
-    tags = re.findall(r"<([A-Za-z_][\w.:-]*)", start)
-    if len(tags) < 2:
-        raise ExecutionError(f"{path} has no rows in a root element")
-    return tags[1]
+    for text in heads(spark, path):
+        text = re.sub(r"<!--.*?-->|<\?.*?\?>|<!\[CDATA\[.*?\]\]>|<![^>\[]*(\[[^\]]*\])?[^>]*>", "", text, flags=re.S)
+        text = re.sub(r"<[!?].*", "", text, flags=re.S)  # one that ends further on
+        tags = re.findall(r"<([A-Za-z_][\w.:-]*)(?=[\s/>])", text)
+        if len(tags) > 1:
+            return tags[1]
+    raise ExecutionError(f"{path} has no rows in a root element")
 
 
 def read_xml(spark: SparkSession, path: str) -> DataFrame:

@@ -5,6 +5,7 @@ import pytest
 
 from ferrule import cli
 from ferrule.errors import QueryError, SecurityError
+from ferrule.functions.typed import number_in
 from ferrule.limits import Limits
 from ferrule.session import Engine
 from ferrule.sources.registry import READERS, register
@@ -107,6 +108,68 @@ def test_sqlite(engine, tmp_path):
             engine.sql(f"from {source} select id")
 
 
+def test_sqlite_ranges_follow_the_rows(spark, engine, tmp_path):
+    """Two rows far apart are one partition; only the columns that a query mentions are read, near misses for the hint besides."""
+    db = sqlite3.connect(tmp_path / "wide.db")
+    db.execute("CREATE TABLE t (id INTEGER PRIMARY KEY, name TEXT, blob BLOB)")
+    db.executemany("INSERT INTO t VALUES (?, ?, ?)", [(1, "x", b"\x01"), (5_000_000_000, "y", None)])
+    db.commit()
+    db.close()
+    df = engine.sql("from wide.db where id > 1 select name")
+    assert [tuple(r) for r in df.collect()] == [("y",)] and df.rdd.getNumPartitions() == 1
+    assert "blob" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert got(engine, "from wide.db select *") == [("1", "x", "01"), ("5000000000", "y", None)]
+    with pytest.raises(QueryError, match="Did you mean 'name'"):
+        engine.sql("from wide.db select nme")
+
+
+def test_number_texts_have_no_suffix(engine, tmp_path):
+    (tmp_path / "n.csv").write_text("k\n12d\n12f\n12\n0x1p2\n0x10\n 3\n3 \n1_0\n-Infinity\nnan\n1e1000\n+.5\n")
+    assert [r[0] for r in got(engine, "from n.csv where k == 12 select k")] == ["12"]
+    assert [r[0] for r in got(engine, "from n.csv where k == 16 select k")] == ["0x10"]
+    assert got(engine, "from n.csv where k < 100 and k > 0 and k != 'nan' select sum(k)") == [(12 + 4 + 16 + 3 + 0.5,)]
+    for text in ("12d", "3 ", "1_0", "0x", ""):
+        assert number_in(text) is None
+    assert (number_in("0x10"), number_in(" 3"), number_in("-inf")) == (16.0, 3.0, float("-inf"))
+    with pytest.raises(Exception, match="not a number: 12d"):
+        engine.sql("from n.csv where k == '12d' select abs(k)").collect()
+
+
+def test_long_beginnings(engine, tmp_path, monkeypatch):
+    """Nothing is refused for what stands further on than the part looked at first."""
+    (tmp_path / "long.json").write_text('{"id": 1, "text": "' + "x" * 100_000 + '"}\n{"id": 2}\n')
+    assert got(engine, "from long.json select id") == [("1",), ("2",)]
+    (tmp_path / "one.json").write_text('{\n "id": 1,\n "text": "' + "x" * 100_000 + '"\n}')
+    assert got(engine, "from one.json select id") == [("1",)]
+    (tmp_path / "long.yaml").write_text("# " + "x" * 100_000 + "\nkey: no\n- id: 1\n- id: 2\n")
+    assert got(engine, "from long.yaml select id") == [("1",), ("2",)]
+    (tmp_path / "long.xml").write_text("<!-- " + "<no><such> " * 10_000 + " --><rows><row><id>1</id></row></rows>")
+    assert got(engine, "from long.xml select id") == [("1",)]
+
+
+def test_yaml_line_ends_repeated_keys_and_folders(engine, tmp_path):
+    (tmp_path / "crlf.yaml").write_bytes(b"# note\r\n- id: 1\r\n  name: x\r\n- id: 2\r\n  name: y\r\n  name: z\r\n")
+    assert got(engine, "from crlf.yaml select id, name") == [("1", "x"), ("2", "z")]
+    (tmp_path / "many.yaml").mkdir()
+    for i in range(3):
+        (tmp_path / "many.yaml" / f"part{i}.yaml").write_text(f"title: head {i}\n- id: {i}\n- id: {i + 10}\n")
+    (tmp_path / "many.yaml" / "part3.yaml").write_text("- id: 3")
+    assert sorted(got(engine, "from many.yaml select id")) == sorted((str(i),) for i in (0, 1, 2, 3, 10, 11, 12))
+
+
+def test_a_source_can_be_replaced(spark, engine, tmp_path):
+    """The old file stays until the new one is whole, also when the query fails."""
+    for name in ("o.parquet", "o.csv", "o.json"):
+        engine.register("t", spark.createDataFrame([(1, "a"), (2, "b")], "id int, name string"))
+        list(engine.run(f"from t select * into {name}"))
+        list(engine.run(f"from {name} where id > 1 select id, name into {name}"))
+        assert [str(r[0]) for r in got(engine, f"from {name} select id")] == ["2"]
+        with pytest.raises(Exception):
+            list(engine.run(f"from {name} select id, abs(name) into {name}"))
+        assert [str(r[0]) for r in got(engine, f"from {name} select id")] == ["2"]
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["o.csv", "o.json", "o.parquet"]
+
+
 def test_registered_source(spark, engine):
     register(".made", lambda spark, path: spark.createDataFrame([(path.rpartition("/")[2],)], "name string"))
     try:

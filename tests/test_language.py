@@ -82,6 +82,34 @@ def test_limits():
     parse("from a.csv where " + "(" * 100 + "x == 1" + ")" * 100 + " select x")
 
 
+def test_output_names_are_unique(engine):
+    assert engine.sql("from t select id, id, name as id_2").columns == ["id", "id_3", "id_2"]
+    assert engine.sql("from t select name as id_2, id, id").columns == ["id_2", "id", "id_3"]
+
+
+def test_set_operations_lean_left(engine):
+    assert [r.id for r in engine.sql("from t select id except from u select key").collect()] == [2]
+    assert [r.id for r in engine.sql("from t select id intersect from u select key").collect()] == [1]
+    assert sorted(r.id for r in engine.sql("from t select id union all from t select id except all from u select key").collect()) == [1, 2, 2]
+
+
+def test_in_query(spark, engine):
+    engine.register("n", spark.createDataFrame([(1,), (None,)], "k int"))
+    assert [r.id for r in engine.sql("from t where id in (from n select k) and val < 0 select id").collect()] == [1]
+    assert engine.sql("from t where id not in (from n select k) select id").count() == 0  # a null may be any value
+    assert [r.id for r in engine.sql("from t where id not in (from u select key) select id").collect()] == [2]
+    for text in ("from t where id in (from u select key, item) select id", "from t where id in (from u select key) or id == 2 select id"):
+        with pytest.raises(ExecutionError):
+            engine.sql(text)
+
+
+def test_offset_and_nulls(spark, engine):
+    engine.register("n", spark.createDataFrame([(2,), (None,), (1,), (3,)], "k int"))
+    ks = lambda text: [r.k for r in engine.sql(text).collect()]
+    assert ks("from n select k order by k nulls last") == [1, 2, 3, None] and ks("from n select k order by k desc nulls first") == [None, 3, 2, 1]
+    assert ks("from n select k order by k offset 1 limit 2") == [1, 2] and ks("from n select k order by k offset 3") == [3]
+
+
 def test_suggestions():
     assert edits("kitten", "sitting") == 3 and edits("", "abc") == 3 and edits("age", "age") == 0
     assert hint("agge", ["name", "age"]) == " (Did you mean 'age'?)"
