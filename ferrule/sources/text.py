@@ -67,6 +67,11 @@ def fact(spark: SparkSession, what: str, path: str, find):
     return _FACTS[key]
 
 
+def forget() -> None:
+    """Ask files anew."""
+    _FACTS.clear()
+
+
 def _has_broken_lines(spark: SparkSession, path: str) -> bool:
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
     return not spark.read.text(path).filter(F.col("value").contains('"') & (quotes % 2 == 1)).isEmpty()
