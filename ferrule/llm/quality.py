@@ -1,15 +1,18 @@
 """Quality classification by importance resampling.
 
 Two generative models over hashed n-grams, one of the target (documents labelled
-good), one of the raw corpus (all documents); a document's importance is the
-log ratio of its probabilities under both, summed over all its n-grams, and
-documents are sampled without replacement in proportion to their importance
-weights (to the power of 1 / temperature) by Gumbel top-k.
+good), one of the raw corpus (all documents). A document's importance weight is
+the ratio of its probabilities under both, over all its n-grams, and documents are
+sampled without replacement by Gumbel top-k.
 
 The n-grams are pairs of neighbouring word shapes (length, capitals, signs, last
 sign, whether the word repeats the one before) and byte trigrams; each kind
-falls into buckets of its own and is a model of its own, so the ratio is that of
-the products of both.
+falls into buckets of its own and is a model of its own.
+
+The log of a ratio grows with the length of a text, and with it the errors of the
+estimates: taken as it is, it sorts texts by length first and sound long ones go
+with the junk. So the weights are tempered: the log ratio of each model is divided
+by its number of n-grams, and their sum by the temperature.
 """
 
 from __future__ import annotations
@@ -25,9 +28,9 @@ from ferrule.llm.common import BASE, chunks, materialize, mix64, packed, small_b
 
 BUCKETS = 1 << 16
 #: Added to each bucket's count in both models.
-SMOOTHING = 1.0
-#: 1 samples in proportion to the likelihood ratio itself; smaller values come nearer to a plain cut.
-TEMPERATURE = 1.0
+SMOOTHING = 0.1
+#: Of the sampling, for log ratios per n-gram; smaller values come nearer to a plain cut.
+TEMPERATURE = 0.1
 #: Most labelled documents that the target model and the cut learn from.
 LABELLED = 20_000
 #: Buckets of a round of the search for the k-th key.
@@ -64,14 +67,16 @@ def byte_trigrams(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
 KINDS = (shape_pairs, byte_trigrams)
 
 
-def importance(raw: np.ndarray, at: np.ndarray, ratio: np.ndarray) -> np.ndarray:
-    """log of the ratio of a text's probabilities in the two models: the sum over all its n-grams of both kinds; 0 without any."""
-    out = np.zeros(len(at) - 1)
+def importance(raw: np.ndarray, at: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log of the ratio of a text's probabilities, the sum over all its n-grams of both kinds; and the sum of each kind's mean. 0 without any."""
+    whole, tempered = np.zeros((2, len(at) - 1))
     for kind in KINDS:
         bucket, offsets = kind(raw, at)
         n = np.diff(offsets)
-        out += np.bincount(np.repeat(np.arange(len(n)), n), ratio[bucket], minlength=len(n))
-    return out
+        sums = np.bincount(np.repeat(np.arange(len(n)), n), ratio[bucket], minlength=len(n))
+        whole += sums
+        tempered += sums / np.maximum(n, 1)
+    return whole, tempered
 
 
 def log_ratio(docs: DataFrame, good: list) -> np.ndarray:
@@ -101,15 +106,16 @@ def log_ratio(docs: DataFrame, good: list) -> np.ndarray:
 
 
 def _scored(docs: DataFrame, ratio: np.ndarray, seed: int, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of ``docs`` with quality_score and quality_key, the same on every run."""
+    """The columns ``keep`` of ``docs`` with quality_ratio, quality_score and quality_key, the same on every run."""
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [importance(raw, at, shared.value) for _, _, raw, at in chunks(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([*map(batch.column, keep), pa.array(np.concatenate(got) if got else np.empty(0))], names=[*keep, "quality_score"])
+            got = [np.stack(importance(raw, at, shared.value)) for _, _, raw, at in chunks(batch.column("text"))]
+            new = np.concatenate(got, axis=1) if got else np.empty((2, 0))
+            yield pa.RecordBatch.from_arrays([*map(batch.column, keep), *map(pa.array, new)], names=[*keep, "quality_ratio", "quality_score"])
 
-    out = docs.mapInArrow(score, docs.limit(0).select(*keep, F.lit(0.0).alias("quality_score")).schema)
+    out = docs.mapInArrow(score, docs.limit(0).select(*keep, F.lit(0.0).alias("quality_ratio"), F.lit(0.0).alias("quality_score")).schema)
     u = (F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
     return out.withColumn("quality_key", F.col("quality_score") - F.lit(TEMPERATURE) * F.log(-F.log(u)))
 
@@ -136,7 +142,10 @@ def kth_largest(keys: DataFrame, k: int) -> float:
 
 
 def resample(docs: DataFrame, labels: DataFrame, seed: int = 1, labelled: int = LABELLED, keep: list[str] | None = None) -> tuple[DataFrame, float]:
-    """(scored, least): a written table of ``docs`` with quality_score and quality_key (replaced if present), and the least key that is kept.
+    """(scored, least): a written table of ``docs`` with the columns below (replaced if present), and the least key that is kept.
+
+    quality_ratio: log of the likelihood ratio; quality_score: the same per n-gram
+    of each kind; quality_key: this with Gumbel noise.
 
     The target model learns from up to ``labelled`` documents with a label,
     those with the smallest hashes of doc_id; both models' other counts, the
@@ -152,7 +161,7 @@ def resample(docs: DataFrame, labels: DataFrame, seed: int = 1, labelled: int =
     gives no rows, other columns pass through. doc_id may be of any type that
     labels has too.
     """
-    docs = docs.drop("quality_score", "quality_key")
+    docs = docs.drop("quality_ratio", "quality_score", "quality_key")
     sample = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     rows = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled).collect()
     good = [r.doc_id for r in rows if r.quality > 0]
@@ -179,4 +188,4 @@ def select(docs: DataFrame, labels: DataFrame, seed: int = 1) -> DataFrame:
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored, least = resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), keep=["doc_id"])
-    return scored.select("doc_id", F.col("quality_score").alias("score"), F.col("quality_key").alias("sample_key"), (F.col("quality_key") >= F.lit(float(least))).alias("kept"))
+    return scored.select("doc_id", F.col("quality_score").alias("score"), F.col("quality_ratio").alias("log_ratio"), F.col("quality_key").alias("sample_key"), (F.col("quality_key") >= F.lit(float(least))).alias("kept"))

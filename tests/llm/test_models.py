@@ -225,7 +225,7 @@ def test_quality_against_brute_force(spark):
         return out
 
     all_grams = {i: grams(t) for i, t in rows}
-    want = dict.fromkeys(all_grams, 0.0)
+    want, whole = dict.fromkeys(all_grams, 0.0), dict.fromkeys(all_grams, 0.0)
     for kind in range(2):
         raw, target = collections.Counter(), collections.Counter()
         for i, g in all_grams.items():
@@ -234,13 +234,15 @@ def test_quality_against_brute_force(spark):
                 target.update(g[kind])
         share = lambda c, b: (c[b] + quality.SMOOTHING) / (sum(c.values()) + quality.SMOOTHING * quality.BUCKETS)
         for i, g in all_grams.items():
-            want[i] += sum(math.log(share(target, b) / share(raw, b)) for b in g[kind])
+            ratio = sum(math.log(share(target, b) / share(raw, b)) for b in g[kind])
+            whole[i] += ratio
+            want[i] += ratio / max(1, len(g[kind]))
     docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
     least = set()
     for dealt in (docs.coalesce(1), docs.repartition(5, "doc_id"), docs.orderBy(docs.doc_id.desc()).coalesce(1)):
         keys, at = quality.resample(dealt, labels)
-        got = {r.doc_id: r.quality_score for r in keys.collect()}
-        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+        got = {r.doc_id: (r.quality_score, r.quality_ratio) for r in keys.collect()}
+        assert got.keys() == want.keys() and all(abs(got[i][0] - want[i]) < 1e-9 and abs(got[i][1] - whole[i]) < 1e-7 for i in want)
         least.add(round(at, 9))
     assert len(least) == 1
 
