@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -110,7 +111,7 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
         if start == "{":
             try:
                 return True, reader(True).json(path).schema
-            except PySparkException:
+            except (PySparkException, Py4JJavaError):
                 pass
         return False, reader(False).json(path).schema
 
