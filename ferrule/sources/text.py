@@ -122,7 +122,7 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
 def row_tag(spark: SparkSession, path: str) -> str:
     """The element within the root: the second start tag, comments and declarations aside."""
     for text in heads(spark, path):
-        text = re.sub(r"<!--.*?-->|<\?.*?\?>|<!\[CDATA\[.*?\]\]>|<![^>\[]*(\[[^\]]*\])?[^>]*>", "", text, flags=re.S)
+        text = re.sub(r"<!--.*?-->|<\?.*?\?>|<!\[CDATA\[.*?\]\]>|<!(?!--|\[CDATA)[^>\[]*(\[[^\]]*\])?[^>]*>", "", text, flags=re.S)
         text = re.sub(r"<[!?].*", "", text, flags=re.S)  # one that ends further on
         tags = re.findall(r"<([A-Za-z_][\w.:-]*)(?=[\s/>])", text)
         if len(tags) > 1:
