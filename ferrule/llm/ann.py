@@ -77,7 +77,22 @@ def fit(x: np.ndarray, codebooks: int = CODEBOOKS, words: int = WORDS, rounds: i
         sums += np.stack([np.bincount(cells[:, a], left[:, d], minlength=size) for d in range(x.shape[1])], 1)
         for b in range(codebooks):
             np.add.at(together, (cells[:, a], cells[:, b]), 1)
-    return books + np.linalg.solve(together + np.eye(size), sums).reshape(books.shape)
+    return books + conjugate_gradients(together + np.eye(size), sums).reshape(books.shape)
+
+
+def conjugate_gradients(a: np.ndarray, b: np.ndarray, rounds: int = 200) -> np.ndarray:
+    """Solves a x = b for a positive definite matrix, all columns side by side; codebooks need no more than a few digits."""
+    x, rest = np.zeros_like(b), b.copy()
+    way, size = rest.copy(), (rest**2).sum(0)
+    for _ in range(rounds):
+        if size.max(initial=0) <= 1e-20 * max(1.0, (b**2).sum()):
+            break
+        along = a @ way
+        step = size / np.maximum((way * along).sum(0), 1e-300)
+        x, rest = x + step * way, rest - step * along
+        size, before = (rest**2).sum(0), size
+        way = rest + size / np.maximum(before, 1e-300) * way
+    return x
 
 
 def usable(rows: DataFrame) -> DataFrame:
