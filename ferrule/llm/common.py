@@ -64,12 +64,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-@contextmanager
 def small_batches(spark: SparkSession):
-    """Keep Arrow batches small while a job runs: texts are long and workers have a few hundred MB. The session's setting comes back."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    """Keep Arrow batches small while a job runs: texts are long and workers have a few hundred MB."""
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def shuffles_deleted(spark: SparkSession):
+    """Delete a job's shuffle files when it ends, not when the driver next collects garbage."""
+    return setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """One setting while a job runs. The session's own comes back."""
     before = spark.conf.get(key, None)
-    spark.conf.set(key, str(BATCH_ROWS))
+    spark.conf.set(key, value)
     try:
         yield
     finally:

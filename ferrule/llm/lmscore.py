@@ -16,6 +16,9 @@ gram) alone, so the trie is handled as a table of grams:
 3. costs go back, by bucket, to the parts that asked for them, and each part
    scores its texts.
 
+What the steps write is counted on disk: the shuffles of a job go when it ends, and
+all tables but the answers before texts are scored.
+
 The number of parts and of buckets follows the size of the corpus, so tasks stay
 the same size; at 100 TB a pack holds few keys and this is a plain shuffle.
 
@@ -25,13 +28,14 @@ Nothing of the model is broadcast or collected but that fixed table.
 from __future__ import annotations
 
 import math
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import BASE, chunks, crc_of_id, materialize, mix64, table, word_table, words
+from ferrule.llm.common import BASE, chunks, crc_of_id, discard, materialize, mix64, shuffles_deleted, table, word_table, words
 
 #: Bytes of context; grams of ORDER + 1 bytes are handled as 64-bit numbers.
 ORDER = 5
@@ -281,6 +285,19 @@ def score_part(order: int):
     return run
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``materialize``, and the shuffle files that led up to the table go with the job."""
+    with shuffles_deleted(df.sparkSession):
+        return materialize(df, name)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that nothing reads any more."""
+    for done in tables:
+        for path in {unquote(f).rsplit("/", 1)[0] for f in done.inputFiles()}:
+            discard(done.sparkSession, path)
+
+
 def score_documents(docs: DataFrame, order: int = ORDER, part_bytes: int = PART_BYTES) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text, train: learn from this text).
 
@@ -301,12 +318,12 @@ def score_documents(docs: DataFrame, order: int = ORDER, part_bytes: int = PART_
     dealt = docs.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     buckets = max(-(-size // BUCKET_BYTES), 2 * spark.sparkContext.defaultParallelism)
-    asked = materialize(dealt.groupBy("part").applyInArrow(gather(order, buckets), "part int, kind byte, bucket int, size int, keys binary, counts binary"), "lm-asked")
-    sums = materialize(asked.groupBy("kind", "bucket").applyInArrow(total, "kind byte, bucket int, key long, n long"), "lm-sums")
+    asked = written(dealt.groupBy("part").applyInArrow(gather(order, buckets), "part int, kind byte, bucket int, size int, keys binary, counts binary"), "lm-asked")
+    sums = written(asked.groupBy("kind", "bucket").applyInArrow(total, "kind byte, bucket int, key long, n long"), "lm-sums")
     seen = sums.filter("n > 0")
     found = seen.filter(F.col("kind") == WORD).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("distinct")).first()
     three = seen.filter(F.col("kind") == GRAM).groupBy(F.expr("key & 16777215").alias("three")).agg(F.sum("n").alias("three_n"))
-    three = materialize(three, "lm-three")
+    three = written(three, "lm-three")
     short = np.zeros((256, 256))
     for r in three.groupBy(F.expr("three & 65535").alias("two")).agg(F.sum("three_n").alias("n")).collect():  # at most 65,536 rows
         short[r.two >> 8, r.two & 255] = r.n
@@ -317,7 +334,8 @@ def score_documents(docs: DataFrame, order: int = ORDER, part_bytes: int = PART_
     counts = trie.select("cell", "pair").distinct().join(three.withColumn("pair", F.expr("shiftright(three, 8)")), "pair").select(F.col("cell").alias("of_cell"), "three", "three_n")
     costs = trie.drop("pair").groupBy("cell").cogroup(counts.groupBy("of_cell")).applyInArrow(price(short, order), "kind byte, bucket int, key long, value double")
     values = costs.union(sums.filter(F.col("kind") == WORD).select("kind", "bucket", "key", F.col("n").cast("double")))
-    answers = asked.groupBy("kind", "bucket").cogroup(values.groupBy("kind", "bucket")).applyInArrow(answer, "part int, kind byte, size int, keys binary, values binary")
+    answers = written(asked.groupBy("kind", "bucket").cogroup(values.groupBy("kind", "bucket")).applyInArrow(answer, "part int, kind byte, size int, keys binary, values binary"), "lm-answers")
+    release(asked, sums, three)
     schema = f"doc_id {kind}, train boolean, n_tokens long, n_known long, sum_log double, score double"
     scored = dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(score_part(order), schema)
     scale = F.lit(float(found.tokens + found.distinct + 1))

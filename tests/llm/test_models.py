@@ -2,15 +2,18 @@
 
 import collections
 import math
+import pathlib
 import re
+import time
 import unicodedata
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ferrule.llm import langid, licenses, lmscore, quality
-from ferrule.llm.common import BASE, mix64
+from ferrule.llm.common import BASE, mix64, shared_dir
 
 
 def ppm(counts, text, order, end, log=math.log10):
@@ -91,6 +94,31 @@ def test_lm_without_training(spark):
     assert all(r.n_known == 0 and r.train_tokens == 0 for r in got)
 
 
+def test_lm_keeps_one_step_on_disk(spark, odd, tmp_path):
+    """When texts are to be scored, the answers' table alone is left, and no shuffle of an earlier step; the session's setting is back."""
+    odd.selectExpr("*", "doc_id % 3 <> 0 as train").write.parquet(f"file://{tmp_path}/docs")
+    docs, key = spark.read.parquet(f"file://{tmp_path}/docs"), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    blocks = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def shuffles():
+        files = blocks.getAllFiles()
+        found = [pathlib.Path(files.apply(i).getPath()) for i in range(files.length())]
+        return {p: p.stat().st_size for p in found if p.name.startswith("shuffle_") and p.exists()}
+
+    tables = lambda: {p.name for p in pathlib.Path(shared_dir(spark).removeprefix("file:")).glob("lm-*")}
+    earlier, others, before = tables(), shuffles(), spark.conf.get(key)
+    got = lmscore.score_documents(docs, part_bytes=20_000)
+    left = tables() - earlier
+    assert {name.rsplit("-", 1)[0] for name in left} == {"lm-answers"} and spark.conf.get(key) == before
+    texts = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    for _ in range(100):  # files are deleted beside the session
+        if (more := sum(n for p, n in shuffles().items() if p not in others)) < texts / 20:
+            break
+        time.sleep(0.1)
+    assert more < texts / 20  # two sums are collected
+    assert sorted(map(str, got.collect())) == sorted(map(str, got.collect())) and tables() - earlier == left
+
+
 def letters(text):
     return any(unicodedata.category(c).startswith("L") for c in text)
 
