@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ferrule.errors import ExecutionError
 from ferrule.functions.typed import quoted
-from ferrule.operators.tables import delete, file_system
+from ferrule.operators.tables import delete, file_system, joined
 from ferrule.sources.registry import check_path
 
 SEPARATORS = {".csv": ",", ".tsv": "\t"}
@@ -44,11 +44,11 @@ def export(df: DataFrame, path: str, single_file: bool = True) -> None:
         elif suffix == ".json":
             row = F.to_json(F.struct(*[F.col(quoted(c)) for c in plain.columns]), {"ignoreNullFields": "false"})
             plain.select(F.concat(F.lit(",\n"), row).alias("value")).write.option("lineSep", " ").text(parts)
-            _join(df, parts, new, "[", "\n]\n", skip=1)
+            joined(spark, parts, new, "[", "\n]\n", skip=1)
         else:
             sep = SEPARATORS[suffix]
             plain.write.option("sep", sep).option("escape", '"').option("emptyValue", "").csv(parts)
-            _join(df, parts, new, next(separated([plain.columns], sep)), "", skip=0)
+            joined(spark, parts, new, next(separated([plain.columns], sep)))
         _swap(spark, new, path)
     finally:
         delete(spark, parts)
@@ -70,27 +70,6 @@ def _swap(spark: SparkSession, new: str, path: str) -> None:
         raise ExecutionError(f"cannot write {path}")
 
 
-def _join(df: DataFrame, parts: str, path: str, before: str, after: str, skip: int) -> None:
-    spark = df.sparkSession
-    fs, folder = file_system(spark, parts)
-    _, target = file_system(spark, path)
-    copy = spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils.copyBytes
-    out = fs.create(target, True)
-    try:
-        out.write(before.encode())
-        names = [f.getPath().toString() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-") and f.getLen() > 0]
-        names.sort(key=lambda name: int(name.rpartition("/part-")[2].split("-")[0]))
-        for i, name in enumerate(names):
-            stream = fs.open(file_system(spark, name)[1])
-            if i == 0 and skip:
-                stream.skip(skip)
-            copy(stream, out, 1 << 20, False)
-            stream.close()
-        out.write(after.encode())
-    finally:
-        out.close()
-
-
 # Text
 
 

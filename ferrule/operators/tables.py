@@ -49,3 +49,24 @@ def delete(spark: SparkSession, path: str) -> None:
         fs.delete(where, True)
     except Exception:  # noqa: BLE001  the gateway may be gone at exit
         return
+
+
+def joined(spark: SparkSession, parts: str, path: str, before: str = "", after: str = "", skip: int = 0) -> None:
+    """Join the parts that a job wrote to one file, in their order; ``skip``: bytes left out of the first."""
+    fs, folder = file_system(spark, parts)
+    _, target = file_system(spark, path)
+    copy = spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils.copyBytes
+    out = fs.create(target, True)
+    try:
+        out.write(before.encode())
+        names = [f.getPath().toString() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-") and f.getLen() > 0]
+        names.sort(key=lambda name: int(name.rpartition("/part-")[2].split("-")[0]))
+        for i, name in enumerate(names):
+            stream = fs.open(file_system(spark, name)[1])
+            if i == 0 and skip:
+                stream.skip(skip)
+            copy(stream, out, 1 << 20, False)
+            stream.close()
+        out.write(after.encode())
+    finally:
+        out.close()

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from ferrule.errors import ExecutionError
 from ferrule.functions.typed import marked
 from ferrule.operators.tables import file_system
+from ferrule.sources import arrays
 
 #: Files up to this size are one task anyway, so they are read with line breaks in quotes at once.
 ONE_SPLIT = 4 << 20
@@ -32,6 +33,13 @@ def first_file(spark: SparkSession, path: str):
     return fs, files[0][1].getPath() if files else None
 
 
+def plain_files(spark: SparkSession, path: str) -> list[tuple[str, int]] | None:
+    """(name, bytes) of the files of a path; None if folders are among them."""
+    fs, where = file_system(spark, path)
+    found = [f for f in fs.listStatus(where) if not f.getPath().getName().startswith(("_", "."))]
+    return None if any(f.isDirectory() for f in found) else sorted((f.getPath().toString(), f.getLen()) for f in found)
+
+
 def heads(spark: SparkSession, path: str, size: int = HEAD) -> Iterator[str]:
     """Ever longer beginnings of a file, or of the first file of a folder; the last one is the whole."""
     fs, where = first_file(spark, path)
@@ -98,25 +106,44 @@ def read_tsv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """An array of objects, an object a line (which splits among tasks), or one object."""
-    start = next((h.lstrip()[0] for h in heads(spark, path) if h.strip()), "")
+    """An array of objects, an object a line, or one object. The first two split among tasks in any form (``arrays``).
+
+    Spark's reader of objects over several lines is left to files in other encodings
+    than UTF-8 and to folders of folders: it is one task a file, and reads a buffer anew for every value that is no string.
+    """
+    head = next((h for h in heads(spark, path) if h.strip()), "").lstrip()
+    start = head[:1]
     if start and start not in "[{":
         raise ExecutionError(f"{path} is no JSON array of objects")
 
-    def reader(lines: bool):
-        return spark.read.option("multiLine", not lines).option("primitivesAsString", True).option("mode", "FAILFAST")
+    def reader(record: str | None = None):
+        options = spark.read.option("primitivesAsString", True).option("mode", "FAILFAST")
+        return options.option("lineSep", record) if record else options
 
-    def find() -> tuple[bool, T.StructType]:
-        """Whether it is lines, and the schema; one object over several lines fails as lines."""
+    def find() -> tuple[str, str | list[str], T.StructType]:
+        """The form, where it is read, and the schema; one object over several lines fails as lines."""
         if start == "{":
             try:
-                return True, reader(True).json(path).schema
+                return "lines", path, reader().json(path).schema
             except (PySparkException, Py4JJavaError):
                 pass
-        return False, reader(False).json(path).schema
-
-    lines, schema = fact(spark, "schema", path, find)
-    return marked(reader(lines).schema(schema).json(path))
+        files = plain_files(spark, path)
+        if not start or "\0" in head or files is None:
+            return "whole", path, reader().option("multiLine", True).json(path).schema
+        if start == "[" and total_bytes(spark, path) > ONE_SPLIT:
+            if arrays.BEGINS_A_LINE.match(head) and arrays.is_object_a_line(spark, path):
+                if (schema := reader().option("mode", "DROPMALFORMED").json(path).schema).fields:
+                    return "array lines", path, schema
+            where = [arrays.separated_copy(spark, name) if size > ONE_SPLIT else name for name, size in files]
+        else:
+            where = path
+        return "records", where, reader(arrays.RECORD).json(where).schema
+
+    form, where, schema = fact(spark, f"JSON of {spark.sparkContext.applicationId}", path, find)
+    if form == "array lines":
+        return marked(arrays.read_object_a_line(reader(), path, schema))
+    options = reader(arrays.RECORD) if form == "records" else reader().option("multiLine", form == "whole")
+    return marked(options.schema(schema).json(where))
 
 
 def row_tag(spark: SparkSession, path: str) -> str:

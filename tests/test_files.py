@@ -72,6 +72,74 @@ def test_broken_json_raises(engine, tmp_path, text):
         engine.sql("from bad.json select id").collect()
 
 
+ODD = [{"id": 1, "t": '}, {"id": 9}]', "n": 2.50}, {"id": 2, "t": "it's \\\" é\n", "n": {"a": [{"b": 1.0}, {}]}}, {}, {"id": 3, "n": None}] + [{"id": i, "t": "x" * (i % 7)} for i in range(4, 60)]
+ODD_ROWS = [("1", '}, {"id": 9}]', "2.5"), ("2", "it's \\\" é\n", '{"a": [{"b": 1.0}, {}]}'), (None, None, None), ("3", None, None)] + [(str(i), "x" * (i % 7), None) for i in range(4, 60)]
+
+
+@pytest.fixture
+def small_splits(spark, monkeypatch):
+    """Files of a few hundred bytes are large and have many splits."""
+    from ferrule.sources import text
+
+    monkeypatch.setattr(text, "ONE_SPLIT", 10)
+    sizes = {"spark.sql.files.openCostInBytes": "1", "spark.sql.files.maxPartitionBytes": "150"}
+    for key, value in sizes.items():
+        spark.conf.set(key, value)
+    yield
+    for key in sizes:
+        spark.conf.unset(key)
+
+
+@pytest.mark.parametrize(
+    "form",
+    [
+        lambda rows: "[\n" + ",\n".join(map(json.dumps, rows)) + "\n]\n",
+        lambda rows: "[\r\n" + ",\r\n".join(map(json.dumps, rows)) + "\r\n]\r\n",
+        lambda rows: json.dumps(rows, ensure_ascii=False),
+        lambda rows: "\n [" + "\n,".join(map(json.dumps, rows)) + "] ",
+        lambda rows: "[\n" + ",\n".join(f"{json.dumps(a)}, {json.dumps(b)}" for a, b in zip(rows[::2], rows[1::2], strict=True)) + "\n]",
+    ],
+)
+def test_large_json_arrays_are_split(engine, tmp_path, small_splits, form):
+    """In any form: rows are whole, in the file's order and as they are spelled, whatever their strings hold."""
+    (tmp_path / "a.json").write_bytes(form(ODD).encode())
+    df = engine.sql("from a.json select id, t, n")
+    assert [tuple(r) for r in df.collect()] == ODD_ROWS
+    assert df.rdd.getNumPartitions() > 3
+    assert got(engine, "from a.json select count(*)") == [(len(ODD),)]
+    assert len(got(engine, "from a.json where id > 50 select id")) == 9
+
+
+def test_large_json_arrays_in_folders(engine, tmp_path, small_splits):
+    (tmp_path / "many.json").mkdir()
+    for i, indent in enumerate((None, 1, 3)):
+        (tmp_path / "many.json" / f"{i}.json").write_text(json.dumps([{"id": i * 100 + j, "n": {"v": [j]}} for j in range(30)], indent=indent))
+    assert sorted(int(r[0]) for r in got(engine, "from many.json select id")) == [i * 100 + j for i in range(3) for j in range(30)]
+
+
+@pytest.mark.parametrize("end", ["", ", 5]", ", {]", ",\n]", "}]", ' {"id": 3}]', "\n {}\n]", ', [{"id": 3}]]', '\n,{"id": "\x1e"}]'])
+def test_large_broken_json_arrays_raise(engine, tmp_path, small_splits, end):
+    for name, start in (("lines", '[\n{"id": 1},\n{"id": 2}'), ("dense", '[{"id": 1},{"id": 2}')):
+        (tmp_path / f"{name}.json").write_text(start + end)
+        with pytest.raises(Exception):  # noqa: B017
+            engine.sql(f"from {name}.json select id").collect()
+
+
+def test_json_arrays_are_read_once(spark, engine, tmp_path):
+    """Numbers in an array cost no reading of their own."""
+    rows = [{"id": i, "v": i / 2, "w": i % 3 > 1} for i in range(20_000)]
+    (tmp_path / "n.json").write_text(json.dumps(rows))
+    spark.sparkContext.setJobGroup("json once", "")
+    try:
+        assert len(got(engine, "from n.json select id, v, w")) == len(rows)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    context, tracker = spark.sparkContext._jsc.sc(), spark.sparkContext.statusTracker()
+    context.listenerBus().waitUntilEmpty()
+    stages = [s for job in tracker.getJobIdsForGroup("json once") for s in tracker.getJobInfo(job).stageIds]
+    assert 0 < max(context.statusStore().lastStageAttempt(s).inputBytes() for s in stages) < 2 * (tmp_path / "n.json").stat().st_size
+
+
 def test_xml(engine, tmp_path):
     (tmp_path / "a.xml").write_text("<?xml version='1.0'?><!-- <no><such> --><rows>\n<row a='1'><id>1</id><name> A &amp; B </name></row>\n<row><id>2</id></row></rows>")
     assert got(engine, "from a.xml select id, name order by id") == [("1", "A & B"), ("2", None)]
